@@ -180,7 +180,8 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
     signed = stage(rows.mapInArrow(_signed(words), "doc_id long, n_shingles long, cls long, sig binary"), f"{name}-signed")
     classes = stage(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), f"{name}-classes")
     index = classes.select("cls", "n", "sig").mapInArrow(_keyed, "key long, cls long, n long")
-    leads = index.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1").select("key", "lead")
+    # a table of its own, so that the join below it can split a bucket that very many classes share
+    leads = stage(index.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1").select("key", "lead"), f"{name}-leads")
     buckets = stage(index.join(leads, "key"), f"{name}-buckets")
     links = Links(rows, signed, classes, words, percent, name)
 
@@ -201,7 +202,7 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
     # what still shares a bucket across components, by size, signature and set
     member = buckets.select("key", "cls", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = stage(member, f"{name}-members")
-    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    open_ = stage(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), f"{name}-open")
     rest = member.join(open_, "key", "left_semi")
     one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "component"))) for s in "xy")
     fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("component_x") < F.col("component_y"))
