@@ -37,7 +37,7 @@ def searched(base: DataFrame, queries: DataFrame, local, k: int, ascending: bool
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(m / block_rows))
     dim = F.size("v").alias("dim")
     left = queries.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    right = base.select("vec_id", "v", dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))
+    right = base.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))
     keys = ["dim", "block", "shard"]
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(local, f"query_id long, vec_id long, score {kind}")
     score = F.col("score") if ascending else F.col("score").desc()
