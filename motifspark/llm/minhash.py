@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RangeHash, mix, rows_of, slices, stage, text_buffers
@@ -24,10 +24,16 @@ from .components import components
 
 CHUNKS, SYMBOLS = 12, 6
 WIDTH = CHUNKS * SYMBOLS
-#: Pairs with fewer equal symbols are no candidates: six standard deviations under what similarity 0.8 expects.
-LEAST_EQUAL = 37
-_odd = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-_add = mix(np.arange(1001, WIDTH + 1001, dtype=np.uint64))
+#: Pairs with fewer equal symbols are no candidates: five standard deviations under what similarity 0.8 expects.
+LEAST_EQUAL = 40
+#: The wide signature of classes whose buckets stay open: so many symbols of PLANES bits, as bit planes of longs.
+WIDE, PLANES = 512, 4
+#: Wide symbols that may differ: over five standard deviations more than similarity 0.8 expects.
+MOST_APART = 144
+#: Rounds of neighbours in open buckets, and parts that a bucket is dealt to for them.
+TURNS, SALTS = 1, 32
+_odd = mix(np.arange(1, WIDTH + WIDE + 1, dtype=np.uint64)) | np.uint64(1)
+_add = mix(np.arange(1001, WIDTH + WIDE + 1001, dtype=np.uint64))
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +124,41 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cls[i : i + 2000], WIDTH)), pa.array(np.repeat(n[i : i + 2000], WIDTH))], ["key", "cls", "n"])
 
 
+def _planed(words: int):
+    """Wide signatures of texts, plane by plane."""
+
+    def run(batches):
+        for b in rows_of(batches):
+            data, off = text_buffers(b.column("text"))
+            for i, j in slices(off):
+                doc, value = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
+                found, _, whole, _ = signatures(doc, value)
+                first = np.searchsorted(doc, found)
+                low = np.empty((len(found), WIDE), np.uint8)
+                for k in range(WIDE if len(found) else 0):
+                    low[:, k] = mix(np.minimum.reduceat((value * _odd[WIDTH + k] + _add[WIDTH + k]) >> np.uint64(16), first)) & np.uint64(255)
+                planes = [np.packbits((low >> np.uint8(p)) & np.uint8(1), axis=1).view(np.int64).reshape(len(found), -1) for p in range(PLANES)]
+                columns = [pa.array(plane[:, h].copy()) for plane in planes for h in range(WIDE // 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(whole), *columns], ["cls", *PLANE_NAMES])
+
+    return run
+
+
+PLANE_NAMES = [f"bits{p}_{h}" for p in range(PLANES) for h in range(WIDE // 64)]
+
+
+def symbols_apart(x: str, y: str):
+    """Column: how many symbols of two rows' bit planes differ; the planes' names end in x and y."""
+    apart = F.lit(0)
+    for h in range(WIDE // 64):
+        differ = [F.col(f"bits{p}_{h}{x}").bitwiseXOR(F.col(f"bits{p}_{h}{y}")) for p in range(PLANES)]
+        every = differ[0]
+        for d in differ[1:]:
+            every = every.bitwiseOR(d)
+        apart = apart + F.bit_count(every)
+    return apart
+
+
 def _equal(batches):
     for b in rows_of(batches):
         x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint16).reshape(-1, WIDTH) for c in ("sig_a", "sig_b"))
@@ -137,6 +178,15 @@ def _sets(words: int):
     return run
 
 
+def may_link(percent: int):
+    """Condition on two rows side by side (_x, _y): sizes and wide signatures allow a link."""
+    return (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (symbols_apart("_x", "_y") <= MOST_APART)
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    return met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
+
+
 class Links:
     """Confirmed links between classes; ``rows`` (doc_id, text) are those the classes come from."""
 
@@ -150,15 +200,17 @@ class Links:
         met = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
         return met.select("a", "b", "sig_a", "sig_b").mapInArrow(_equal, "a long, b long, equal int").filter(F.col("equal") >= LEAST_EQUAL)
 
+    def texts(self, need: DataFrame) -> DataFrame:
+        """(text) of the rows that the classes asked for (cls) come from; of rows with a repeated id, all."""
+        asking = need.join(self.classes.select("cls", "doc_id"), "cls").select(F.col("doc_id").alias("id")).distinct()
+        return self.rows.join(asking, self.rows["doc_id"].eqNullSafe(asking["id"])).select("text")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough; sets are made again from the texts of the classes asked for."""
         self.times += 1
         asked = stage(pairs.select("a", "b").distinct(), f"{self.name}-asked{self.times}")
         need = asked.select(F.col("a").alias("cls")).unionByName(asked.select(F.col("b").alias("cls"))).distinct()
-        from_ = need.join(self.classes.select("cls", "doc_id"), "cls").select("doc_id", "cls")
-        asking = from_.select(F.col("doc_id").alias("id")).distinct()
-        texts = self.rows.join(asking, self.rows["doc_id"].eqNullSafe(asking["id"])).select("text")
-        sets = texts.mapInArrow(_sets(self.words), "cls long, shingles array<long>").join(need, "cls", "left_semi").dropDuplicates(["cls"])
+        sets = self.texts(need).mapInArrow(_sets(self.words), "cls long, shingles array<long>").join(need, "cls", "left_semi").dropDuplicates(["cls"])
         sets = stage(sets, f"{self.name}-sets{self.times}")
         both = asked.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y")).cast("long")
@@ -185,10 +237,10 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
     buckets = stage(index.join(leads, "key"), f"{name}-buckets")
     links = Links(rows, signed, classes, words, percent, name)
 
-    # each class with the leaders of its buckets; first the likest, then all that a link could still join
-    led = stage(links.near(buckets.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()), f"{name}-led")
-    best = led.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a"))
-    edges = links.confirm(best)
+    # each class with the leaders of its buckets; first the one that leads most of them, then all that a link could still join
+    led = stage(buckets.filter("cls <> lead").groupBy(F.col("lead").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times")), f"{name}-led")
+    best = led.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    edges = links.confirm(links.near(best))
     found = components(edges, f"{name}-c1")
 
     def across(pairs: DataFrame) -> DataFrame:
@@ -196,19 +248,38 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
         x, y = found.select(F.col("node").alias("a"), F.col("component").alias("p")), found.select(F.col("node").alias("b"), F.col("component").alias("q"))
         return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
 
-    edges = edges.unionByName(links.confirm(across(led.select("a", "b"))))
+    edges = edges.unionByName(links.confirm(links.near(across(led))))
     found = components(edges, f"{name}-c2")
 
-    # what still shares a bucket across components, by size, signature and set
-    member = buckets.select("key", "cls", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    member = stage(member, f"{name}-members")
-    open_ = stage(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), f"{name}-open")
-    rest = member.join(open_, "key", "left_semi")
-    one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "component"))) for s in "xy")
-    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("component_x") < F.col("component_y"))
-    pairs = one.join(other, "key").filter(fits).select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
-    edges = edges.unionByName(links.confirm(links.near(pairs)))
-    found = components(edges, f"{name}-c3").withColumnsRenamed({"node": "cls", "component": "part"})
+    # what still shares a bucket across components, by size, wide signature and set: first neighbours in a hash order of
+    # each bucket (salted, so a hot bucket is many), which joins what is densely linked; then all pairs that are left
+    bits = [F.col(c) for c in PLANE_NAMES]
+
+    def open_rows(member: DataFrame, step: str) -> DataFrame:
+        """Rows (key, cls, n, component) of the buckets that hold several components."""
+        now = member.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        now = stage(now, f"{name}-{step}-members")
+        keys = stage(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), f"{name}-{step}-open")
+        return stage(now.join(keys, "key", "left_semi"), f"{name}-{step}-rest")
+
+    rest = open_rows(buckets.select("key", "cls", "n"), "3")
+    need = stage(rest.select("cls").distinct(), f"{name}-open-classes")
+    wide = links.texts(need).mapInArrow(_planed(words), "cls long, " + ", ".join(f"{c} long" for c in PLANE_NAMES)).join(need, "cls", "left_semi").dropDuplicates(["cls"])
+    wide = stage(wide, f"{name}-wide")
+    for turn in range(TURNS):
+        hashed = F.xxhash64("cls", F.lit(turn))
+        order = Window.partitionBy("key", F.pmod(F.xxhash64("cls", "key"), F.lit(SALTS))).orderBy(hashed)
+        this = F.struct("cls", "n", "component", *bits)
+        beside = rest.join(wide, "cls").withColumn("y", F.lag(this).over(order)).withColumn("x", this).filter("y is not null")
+        beside = beside.select(*(F.col(f"{v}.{c}").alias(f"{c}_{v}") for v in "xy" for c in ("cls", "n", "component", *PLANE_NAMES)))
+        edges = edges.unionByName(links.confirm(pairs_of(beside.filter(F.col("component_x") != F.col("component_y")).filter(may_link(percent)))))
+        found = components(edges, f"{name}-c3-{turn}")
+        rest = open_rows(rest.drop("component"), f"4-{turn}")
+    rest = rest.join(wide, "cls")
+    one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "component", *PLANE_NAMES))) for s in "xy")
+    pairs = pairs_of(one.join(other, "key").filter((F.col("component_x") < F.col("component_y")) & may_link(percent)))
+    edges = edges.unionByName(links.confirm(pairs))
+    found = components(edges, f"{name}-c5").withColumnsRenamed({"node": "cls", "component": "part"})
 
     # the least id of each component, and back to the rows
     named = classes.join(found, "cls", "left").select("cls", "doc_id", F.coalesce("part", "cls").alias("part"))
