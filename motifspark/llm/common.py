@@ -99,10 +99,12 @@ class RangeHash:
 
 
 def rows_of(batches):
-    """Record batches as they come, empty ones left out."""
+    """Record batches as they come, empty ones left out; what Arrow keeps for later goes back after the last,
+    as workers stay for the next stage's tasks."""
     for b in batches:
         if b.num_rows:
             yield b
+    pa.default_memory_pool().release_unused()
 
 
 def row_key(*columns: str):

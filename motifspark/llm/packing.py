@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import rows_of, slices, stage, text_buffers
 
 #: Entries of a worker's cache of chunk ids, at most.
-CACHE = 600_000
+CACHE = 200_000
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _tokenizers: dict = {}
 

@@ -24,7 +24,7 @@ from .common import rows_of, slices, text_buffers
 
 MARK = "▁"
 #: Words in a worker's cache, at most; characters of a word that still goes through the rows.
-CACHE, ROW = 400_000, 40
+CACHE, ROW = 200_000, 40
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 _FAR = np.iinfo(np.int32).max
 _models: dict = {}

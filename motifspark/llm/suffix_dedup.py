@@ -192,7 +192,7 @@ def _runs(window: int, ranges: int):
                     else:
                         held.setdefault(c["g"] % ranges, []).append((raw[s + at : s + n - 1 + window], raw[s : s + at], c["g"], c["t"], at, n))
                         size += n + window
-                if size > 48 << 20:
+                if size > 24 << 20:
                     yield flush(held)
                     held, size = {}, 0
         if held:
@@ -272,7 +272,8 @@ def _merged(window: int, gram: int):
 def repeated_ranges(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, name: str = "suffix") -> DataFrame:
     """(rid, ranges) of ``texts`` (rid, text): byte ranges [start, end) of every window that occurs elsewhere too."""
     found = stage(texts.mapInArrow(_anchored(window, gram), "g long, t long, rid long, pos long, n int, at int"), f"{name}-anchors")
-    often = found.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
+    # a table of its own, so that the join below it can split a gram that very many texts share
+    often = stage(found.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), f"{name}-often")
     meet = stage(found.join(often, "g", "left_semi"), f"{name}-meet")
     contexts = stage(meet.groupBy("g", "t").agg(F.count("*").alias("c"), F.min(F.struct("rid", "pos", "n", "at")).alias("one")), f"{name}-contexts")
     several = contexts.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
