@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..operators import bootstrap, cluster, densejoin, gate, hashjoin, metrics, raters, replies, rows, vote
+from ..operators import bootstrap, cluster, densejoin, features, gate, hashjoin, metrics, models, raters, replies, rows, vote
 from ..schema import OUTLIER, TEMPLATE_FREE, TEMPLATED
+from ..streaming import rates
 from ..tables import read
 from . import standins as S
 
@@ -527,3 +528,54 @@ def template_search(spark, d):
     p = read(spark, d, "part")
     q, v = p.select(F.col("p_brand").alias("query")).distinct(), p.select(F.concat("p_brand", F.lit(" "), "p_type").alias("label")).distinct()
     return replies.search(q, v, 5)
+
+
+# ---------------------------------------------------------------- features and models (D1, D5, D9, E9, G7), a stream
+@query("""WITH px AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(64)) AS p FROM embeddings),
+basis AS (SELECT k.range AS k, i.range AS i, CASE WHEN k.range = 0 THEN sqrt(CAST(1 AS DOUBLE) / 8) ELSE sqrt(CAST(2 AS DOUBLE) / 8) * cos(pi() * (2 * i.range + 1) * k.range / 16) END AS w FROM range(8) k, range(8) i),
+low AS (SELECT vec_id, a.k * 8 + b.k AS c, sum(x * a.w * b.w) AS y FROM px JOIN basis a ON a.i = p // 8 JOIN basis b ON b.i = p % 8 GROUP BY 1, 2),
+med AS (SELECT vec_id, median(y) AS m FROM low WHERE c > 0 GROUP BY 1)
+SELECT vec_id AS id, CAST(sum(CASE WHEN y > m THEN CASE WHEN c = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(c AS INTEGER) END ELSE 0 END) AS BIGINT) AS h FROM low JOIN med USING (vec_id) GROUP BY 1""")
+def dct_hashes(spark, d):
+    """Each vector as a gray grid of 8 x 8."""
+    return features.dct_hash(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), 8)
+
+
+@query(f"""WITH {S.PLANTED}, pos AS (SELECT id, source, unnest(v) AS x, unnest(range(64)) AS i FROM planted), mo AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM pos WHERE source = 'imgflip_train' GROUP BY 1)
+SELECT id, CAST(i AS INTEGER) AS i, round((x - m) / s, 6) AS x FROM pos JOIN mo USING (i)""")
+def standardised_positions(spark, d):
+    p = S.planted(spark, d)
+    scaled = models.standardise(p, models.position_moments(p.filter("source = 'imgflip_train'")))
+    return scaled.select("id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {S.PLANTED}, t AS (SELECT template, count(*) AS n FROM planted WHERE source = 'imgflip_train' GROUP BY 1) SELECT id, template, round(CAST((SELECT sum(n) FROM t) AS DOUBLE) / ((SELECT count(*) FROM t) * n), 6) AS weight FROM planted JOIN t USING (template) WHERE source = 'imgflip_train'")
+def balanced_weights(spark, d):
+    p = S.planted(spark, d).filter("source = 'imgflip_train'").select("id", "template")
+    return models.balanced_weights(p, "template").select("id", "template", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def principal_components(spark, d):
+    p = S.planted(spark, d).select("id", "source", "v")
+    return models.pca(p, p.filter("source = 'imgflip_train'"), 8).select("id", "v")
+
+
+@query()
+def logistic_predictions(spark, d):
+    p = S.planted(spark, d).drop("label").withColumnRenamed("template", "label")
+    return models.logistic(p.filter("source = 'imgflip_train'"), p.filter("source <> 'imgflip_train'")).select("id", "label", "pred", "confidence")
+
+
+@query()
+def sparse_matches(spark, d):
+    """Dictionary: the first 30 training vectors of each template."""
+    p = S.planted(spark, d)
+    refs = rows.first_per_template(p.filter("source = 'imgflip_train'"), 30, "id").select("id", F.col("template").alias("label"), "v")
+    return models.sparse_match(p.filter("source = 'imgflip_test'"), refs, alpha=0.001)
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def streamed_rates(spark, d):
+    out = rates.drain(spark, d, "ts", "event_type", "value", files="events.parquet")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).withColumn("total", F.round("total", 3))
