@@ -37,7 +37,6 @@ def chunk_ids(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         _tokenizers[path] = (t, {})
     tokenizer, cache = _tokenizers[path]
 
