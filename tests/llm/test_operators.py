@@ -117,6 +117,21 @@ def test_packing(spark, none):
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_text_ids():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert packing.byte_ranks(library) is not None
+    rnd = random.Random(3)
+    letters = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]] + list(" \n\t'") * 60 + list("sdmtlvre") * 40
+    many = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 200))) for _ in range(800)]
+    many += [a + c + b for c in letters[: 0x250 + 24] for a in ("", "a", "1", " ", "\n", "'") for b in ("", "b", " ", "2")]
+    many += ["\U0001f600 \u4e2d\u6587 \u0661\u0662", "a <|endoftext|> b", "x" + " " * 3000 + "y", "\n" * 2000, "ab" * 20000]
+    for text, ids in zip(many, packing.text_ids(path)(many)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
+
+
 def test_pack_counts():
     histogram = {i: 1 + i * 7 % 50 for i in range(1, 128)}
     plan = packing.pack_counts(histogram, 128)
