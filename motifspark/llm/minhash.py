@@ -30,6 +30,8 @@ LEAST_EQUAL = 40
 WIDE, PLANES = 512, 4
 #: Wide symbols that may differ: over five standard deviations more than similarity 0.8 expects.
 MOST_APART = 144
+#: Bits of a class's odd sketch: each is the parity of the shingles that hash to it.
+ODD = 2048
 #: Rounds of neighbours in open buckets, and parts that a bucket is dealt to for them.
 TURNS, SALTS = 1, 32
 _odd = mix(np.arange(1, WIDTH + WIDE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -124,8 +126,22 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cls[i : i + 2000], WIDTH)), pa.array(np.repeat(n[i : i + 2000], WIDTH))], ["key", "cls", "n"])
 
 
+def odd_sketches(doc: np.ndarray, value: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each text of ``found``: its odd sketch as longs. Bits that differ between two sketches come from shingles of only one
+    of the sets, so they are never more than the sets' symmetric difference."""
+    out = np.empty((len(found), ODD // 64), np.int64)
+    bit = (mix(value ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(ODD)).astype(np.int64)
+    edges = np.append(np.searchsorted(doc, found), len(doc))
+    for i in range(0, len(found), 1000):
+        j = min(i + 1000, len(found))
+        at = np.repeat(np.arange(j - i), np.diff(edges[i : j + 1])) * ODD + bit[edges[i] : edges[j]]
+        odd = (np.bincount(at, minlength=(j - i) * ODD) & 1).astype(np.uint8).reshape(j - i, ODD)
+        out[i:j] = np.packbits(odd, axis=1).view(np.int64)
+    return out
+
+
 def _planed(words: int):
-    """Wide signatures of texts, plane by plane."""
+    """Odd sketches and wide signatures of texts, the latter plane by plane."""
 
     def run(batches):
         for b in rows_of(batches):
@@ -138,13 +154,13 @@ def _planed(words: int):
                 for k in range(WIDE if len(found) else 0):
                     low[:, k] = mix(np.minimum.reduceat((value * _odd[WIDTH + k] + _add[WIDTH + k]) >> np.uint64(16), first)) & np.uint64(255)
                 planes = [np.packbits((low >> np.uint8(p)) & np.uint8(1), axis=1).view(np.int64).reshape(len(found), -1) for p in range(PLANES)]
-                columns = [pa.array(plane[:, h].copy()) for plane in planes for h in range(WIDE // 64)]
-                yield pa.RecordBatch.from_arrays([pa.array(whole), *columns], ["cls", *PLANE_NAMES])
+                columns = [pa.array(plane[:, h].copy()) for plane in [*planes, odd_sketches(doc, value, found)] for h in range(plane.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(whole), *columns], ["cls", *WIDE_NAMES])
 
     return run
 
 
-PLANE_NAMES = [f"bits{p}_{h}" for p in range(PLANES) for h in range(WIDE // 64)]
+WIDE_NAMES = [f"bits{p}_{h}" for p in range(PLANES) for h in range(WIDE // 64)] + [f"odd_{h}" for h in range(ODD // 64)]
 
 
 def symbols_apart(x: str, y: str):
@@ -159,6 +175,14 @@ def symbols_apart(x: str, y: str):
     return apart
 
 
+def sketch_bits_apart(x: str, y: str):
+    """Column: how many bits of two rows' odd sketches differ."""
+    apart = F.lit(0)
+    for h in range(ODD // 64):
+        apart = apart + F.bit_count(F.col(f"odd_{h}{x}").bitwiseXOR(F.col(f"odd_{h}{y}")))
+    return apart
+
+
 def _equal(batches):
     for b in rows_of(batches):
         x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint16).reshape(-1, WIDTH) for c in ("sig_a", "sig_b"))
@@ -179,8 +203,13 @@ def _sets(words: int):
 
 
 def may_link(percent: int):
-    """Condition on two rows side by side (_x, _y): sizes and wide signatures allow a link."""
-    return (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (symbols_apart("_x", "_y") <= MOST_APART)
+    """Condition on two rows side by side (_x, _y): sizes, odd sketches and wide signatures allow a link.
+
+    100 * common >= percent * all means that at most (100 - percent) / (100 + percent) of the sizes' sum is in one set only.
+    """
+    sizes = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    sketches = sketch_bits_apart("_x", "_y") * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
+    return sizes & sketches & (symbols_apart("_x", "_y") <= MOST_APART)
 
 
 def pairs_of(met: DataFrame) -> DataFrame:
@@ -251,9 +280,9 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
     edges = edges.unionByName(links.confirm(links.near(across(led))))
     found = components(edges, f"{name}-c2")
 
-    # what still shares a bucket across components, by size, wide signature and set: first neighbours in a hash order of
+    # what still shares a bucket across components, by size, sketch, wide signature and set: first neighbours in a hash order of
     # each bucket (salted, so a hot bucket is many), which joins what is densely linked; then all pairs that are left
-    bits = [F.col(c) for c in PLANE_NAMES]
+    bits = [F.col(c) for c in WIDE_NAMES]
 
     def open_rows(member: DataFrame, step: str) -> DataFrame:
         """Rows (key, cls, n, component) of the buckets that hold several components."""
@@ -264,19 +293,19 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
 
     rest = open_rows(buckets.select("key", "cls", "n"), "3")
     need = stage(rest.select("cls").distinct(), f"{name}-open-classes")
-    wide = links.texts(need).mapInArrow(_planed(words), "cls long, " + ", ".join(f"{c} long" for c in PLANE_NAMES)).join(need, "cls", "left_semi").dropDuplicates(["cls"])
+    wide = links.texts(need).mapInArrow(_planed(words), "cls long, " + ", ".join(f"{c} long" for c in WIDE_NAMES)).join(need, "cls", "left_semi").dropDuplicates(["cls"])
     wide = stage(wide, f"{name}-wide")
     for turn in range(TURNS):
         hashed = F.xxhash64("cls", F.lit(turn))
         order = Window.partitionBy("key", F.pmod(F.xxhash64("cls", "key"), F.lit(SALTS))).orderBy(hashed)
         this = F.struct("cls", "n", "component", *bits)
         beside = rest.join(wide, "cls").withColumn("y", F.lag(this).over(order)).withColumn("x", this).filter("y is not null")
-        beside = beside.select(*(F.col(f"{v}.{c}").alias(f"{c}_{v}") for v in "xy" for c in ("cls", "n", "component", *PLANE_NAMES)))
+        beside = beside.select(*(F.col(f"{v}.{c}").alias(f"{c}_{v}") for v in "xy" for c in ("cls", "n", "component", *WIDE_NAMES)))
         edges = edges.unionByName(links.confirm(pairs_of(beside.filter(F.col("component_x") != F.col("component_y")).filter(may_link(percent)))))
         found = components(edges, f"{name}-c3-{turn}")
         rest = open_rows(rest.drop("component"), f"4-{turn}")
     rest = rest.join(wide, "cls")
-    one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "component", *PLANE_NAMES))) for s in "xy")
+    one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "component", *WIDE_NAMES))) for s in "xy")
     pairs = pairs_of(one.join(other, "key").filter((F.col("component_x") < F.col("component_y")) & may_link(percent)))
     edges = edges.unionByName(links.confirm(pairs))
     found = components(edges, f"{name}-c5").withColumnsRenamed({"node": "cls", "component": "part"})
