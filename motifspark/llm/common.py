@@ -3,6 +3,7 @@ Arrow text buffers, and vectorised 64-bit polynomial hashing of byte ranges."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -14,12 +15,16 @@ from pyspark.sql import functions as F
 M64 = (1 << 64) - 1
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="motifspark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="motifspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # a running session does not let this setting be changed
+        base = _own_folder()
     return base.rstrip("/")
 
 
