@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="motifspark-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A place under spark.checkpoint.dir; in a folder of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="motifspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # a running session does not let this setting be changed
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}"
 
 
