@@ -112,7 +112,8 @@ def _signed(words: int):
                 at[doc] = np.arange(len(doc))
                 cls = pa.array([int(whole[k]) if k >= 0 else None for k in at], pa.int64())
                 sig = pa.array([symbols[k].tobytes() if k >= 0 else None for k in at], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n), cls, sig], ["doc_id", "n_shingles", "cls", "sig"])
+                kept = [c for c in ("doc_id", "row") if c in b.schema.names]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in kept), pa.array(n), cls, sig], [*kept, "n_shingles", "cls", "sig"])
 
     return run
 
@@ -257,9 +258,23 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
     repeated rows and repeated ids are rows like any other. A null id never is a component's id unless all are
     null. No rows in: no rows out. Other columns are not used.
     """
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = stage(rows.mapInArrow(_signed(words), "doc_id long, n_shingles long, cls long, sig binary"), f"{name}-signed")
-    classes = stage(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), f"{name}-classes")
+    signed, named = _linked(docs, text, id, words, percent, name)
+    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    by_class = stage(named.join(least, "part").select("cls", "component_id"), f"{name}-named")
+    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.select(F.col("doc_id").alias(id), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(False)))
+
+
+def _linked(docs: DataFrame, text: str, id: str, words: int, percent: int, name: str, pick: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with their set's class, classes (cls, doc_id, part) with the component they are in); pick: with each class's
+    first row (none, doc_id, row) too, null ids last."""
+    row = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row")] if pick else []
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), *row, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    signed = stage(rows.mapInArrow(_signed(words), f"doc_id long, {'row long, ' if pick else ''}n_shingles long, cls long, sig binary"), f"{name}-signed")
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("pick")] if pick else []
+    classes = stage(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), *first), f"{name}-classes")
     index = classes.select("cls", "n", "sig").mapInArrow(_keyed, "key long, cls long, n long")
     # a table of its own, so that the join below it can split a bucket that very many classes share
     leads = stage(index.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1").select("key", "lead"), f"{name}-leads")
@@ -310,17 +325,20 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
     edges = edges.unionByName(links.confirm(pairs))
     found = components(edges, f"{name}-c5").withColumnsRenamed({"node": "cls", "component": "part"})
 
-    # the least id of each component, and back to the rows
-    named = classes.join(found, "cls", "left").select("cls", "doc_id", F.coalesce("part", "cls").alias("part"))
-    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    by_class = stage(named.join(least, "part").select("cls", "component_id"), f"{name}-named")
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("doc_id").alias(id), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(False)))
+    return signed, classes.join(found, "cls", "left").select("cls", "doc_id", F.coalesce("part", "cls").alias("part"), *(["pick"] if pick else []))
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, percent: int = 80, name: str = "near") -> DataFrame:
-    """Rows of ``docs`` that are their group's least id; all columns stay. Rows repeated under the kept id stay once."""
-    found = groups(docs, text, id, words, percent, name).filter("kept").select(F.col(id).alias("__id")).distinct()
-    return docs.join(found, docs[id] == found["__id"], "left_semi").dropDuplicates([id])
+    """One row of each group of ``docs``, that with the least id (null ids last, ties by a hash of the text); all columns stay.
+
+    A row is told by its id and text together, so an id that is null or repeated with another text costs no row, and
+    copies of the kept row (same id and text) stay once. Rows without words or text are linked with nothing: all stay.
+    """
+    _, named = _linked(docs, text, id, words, percent, name, pick=True)
+    kept = named.groupBy("part").agg(F.min("pick").alias("p")).select(F.col("p.none").alias("__none"), F.coalesce("p.doc_id", F.lit(0)).alias("__id"), F.col("p.row").alias("__row"))
+    own = docs[id].cast("long")
+    keyed = docs.withColumn("__none", own.isNull()).withColumn("__id", F.coalesce(own, F.lit(0))).withColumn("__row", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    worded = F.coalesce(docs[text], F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    key = ["__none", "__id", "__row"]
+    one = keyed.filter(worded).join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return one.unionByName(docs.filter(~worded))

@@ -208,6 +208,18 @@ def test_near_groups(docs, none, rows):
     assert 7 in kept and not kept & {8, 900}  # upper-casing 9 changes more than A-Z
 
 
+def test_keep_one_rows(spark):
+    """Null ids, and one id with several texts: a row of each group stays, whatever its id."""
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(30)) for p in "abcd")
+    near = c.replace("c29", "other")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, near), (None, d), (7, d), (None, a), (8, "x"), (8, "x"), (9, ""), (9, None), (None, " \t"), (None, None)]
+    got = [(r.doc_id, r.text) for r in minhash.keep_one(spark.createDataFrame([(i, t, 1, 0.5) for i, t in rows], DOCS).repartition(3), name="rows").collect()]
+    worded = sorted((r for r in got if (r[1] or "").strip()), key=str)
+    of_c = [r for r in worded if r in ((None, c), (None, near))]
+    assert len(of_c) == 1 and sorted([r for r in worded if r not in of_c], key=str) == sorted([(3, a), (5, b), (7, d), (8, "x")], key=str)
+    assert sorted((r for r in got if not (r[1] or "").strip()), key=str) == sorted(rows[-4:], key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(60, 61), (61, 60), (62, 62), (None, 3)], "a long, b long")
     assert {r.node: r.component for r in components(edges).filter("node <> 62").collect()} == {**{i: 0 for i in range(51)}, 60: 60, 61: 60}
