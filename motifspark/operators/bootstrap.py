@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import settle
 from .metrics import marginals, scores_of
 
 # Fixed value: Student's t, 2 degrees of freedom, 97.5 %.
@@ -40,6 +41,21 @@ def replicate_scores(rows: DataFrame, w: DataFrame, keys: list[str], id: str) ->
     return scores_of(marginals(counts, ["rep", *keys]), ["rep", *keys], digits=9)
 
 
+def pooled_scores(rows: DataFrame, key: str, id: str, replicates: int, seed: int) -> DataFrame:
+    """The scores that replicate_scores gives with weights, for many replicates: ids whose rows (key, truth, pred) are
+    all equal count as one, so a draw becomes one of few profiles before anything is joined with rows."""
+    profiles = settle(rows.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(key, "truth", "pred"))).alias("profile")), "boot-profiles")  # a row for each method
+    alike = profiles.groupBy("profile").agg(F.min(id).alias("like"))
+    numbered = positions(rows, id)
+    at = settle(numbered.join(profiles, id).join(alike, "profile").select("pos", "like"), "boot-positions")
+    n = numbered.count()
+    spark = rows.sparkSession
+    draws = spark.range(0, replicates * n, 1, max(spark.sparkContext.defaultParallelism, replicates * n >> 21)).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("draw"))
+    drawn = draws.select("rep", F.pmod(draw_hash(F.col("rep"), F.col("draw"), seed), F.lit(n)).alias("pos")).join(at, "pos").groupBy("rep", "like").agg(F.count("*").alias("w"))
+    met = drawn.join(alike, "like").select("rep", "w", F.inline("profile"))
+    return scores_of(marginals(met.groupBy("rep", key, "truth", "pred").agg(F.sum("w").alias("n")), ["rep", key]), ["rep", key], digits=9)
+
+
 def intervals(values: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """(keys, metric, mean, lo, hi): mean and 2.5 and 97.5 percentiles over replicates, four digits."""
     long = values.unpivot(["rep", *keys], metrics, "metric", "value")

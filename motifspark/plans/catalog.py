@@ -411,6 +411,7 @@ wt AS (SELECT rep, sample_id, count(*) AS w FROM draws JOIN ids USING (pos) GROU
 
 
 def _replicates(spark, d, n=20, seed=40):
+    """Few replicates, for the queries that SQL replays draw by draw; the whole job is in those ending in _10000."""
     p = S.predictions(spark, d)
     return bootstrap.replicate_scores(p, bootstrap.weights(p, "sample_id", n, seed), ["method"], "sample_id")
 
@@ -434,6 +435,30 @@ def two_stage_bootstrap(spark, d):
     return bootstrap.two_stage_interval(v, ["grp"], "f1", 20)
 
 
+#: Replicates of the survey's P14.
+REPLICATES = 10_000
+
+
+def _all_replicates(spark, d, seed=40):
+    return bootstrap.pooled_scores(S.predictions(spark, d), "method", "sample_id", REPLICATES, seed)
+
+
+@query()
+def bootstrap_intervals_10000(spark, d):
+    return bootstrap.intervals(_all_replicates(spark, d), ["method"], ["f1", "mcc", "cohen_kappa"])
+
+
+@query()
+def bootstrap_differences_10000(spark, d):
+    return bootstrap.paired_differences(_all_replicates(spark, d), "method", "m0", ["f1", "mcc"])
+
+
+@query()
+def two_stage_bootstrap_10000(spark, d):
+    v = _all_replicates(spark, d).withColumn("grp", F.when(F.col("method") < "m2", "a").otherwise("b")).withColumnRenamed("method", "seed")
+    return bootstrap.two_stage_interval(v, ["grp"], "f1", REPLICATES)
+
+
 # ---------------------------------------------------------------- raters (J)
 _TALLY = """fv AS (SELECT *, CASE WHEN kind = 'UNSURE' THEN 'TEMPLATELESS' ELSE kind END AS k2 FROM votes), by_ AS (SELECT image_id, k2, count(*) AS n FROM fv GROUP BY 1, 2),
 top_ AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, k2) AS k, lead(n) OVER (PARTITION BY image_id ORDER BY n DESC, k2) AS second, CAST(sum(n) OVER (PARTITION BY image_id) AS BIGINT) AS n_votes FROM by_),
