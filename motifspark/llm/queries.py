@@ -20,8 +20,8 @@ def tokenizer(name: str) -> str:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("text").alias("salt"))
-    return sharding.shard(docs, size=F.col("n_bytes"), salt=F.col("salt"), limit=SHARD_BYTES).drop("salt")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sharding.shard(docs, size=F.col("n_bytes"), limit=SHARD_BYTES)
 
 
 OP1_SQL = f"""

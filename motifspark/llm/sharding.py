@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
 BITS = 32
+#: Rows of a bucket that no bit can split which one window numbers, as a power of two.
+RUN_BITS = 16
 COLUMNS = ["shard_depth", "shard_prefix", "shard_bytes", "shard_docs", "shard_part"]
 
 
@@ -44,18 +46,41 @@ def _leaves(levels: DataFrame, low: int) -> DataFrame:
     return closed.filter(F.col("depth") == low).unionByName(below).drop("parent", "open")
 
 
-def shard(docs: DataFrame, key: str = "doc_id", size: Column | None = None, salt: Column | None = None, limit: int = 128 << 20, slack_bits: int = 5, name: str = "shards") -> DataFrame:
+def _parted(rows: DataFrame, limit: int, name: str) -> DataFrame:
+    """``rows`` (__h, __b, ...) of buckets that no bit can split, with shard_part and the bytes and rows of that part.
+
+    A row over half the limit is a part of its own. The others are laid end to end and cut every ``limit`` less the
+    largest of them, each going where it begins, so no part is over the limit. Sums run in short windows, then over
+    one row for each window, so neither a hot key nor copies of one row meet in one task.
+    """
+    at = F.monotonically_increasing_id()  # kept in the staged table, so the order is the same each time it is read
+    rows = stage(rows.withColumn("__at", at), f"{name}-hot").withColumn("__run", F.shiftright("__at", RUN_BITS))
+    large = F.col("__b") * 2 > limit
+    rows = rows.withColumn("__large", large.cast("long")).withColumn("__small", F.when(large, 0).otherwise(F.col("__b")))
+    runs = rows.groupBy("__h", "__run").agg(F.sum("__large").alias("l"), F.sum("__small").alias("s"), F.max("__small").alias("m"))
+    before = Window.partitionBy("__h").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    upon = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    whole = runs.groupBy("__h").agg(F.sum("l").alias("n_large"), (F.lit(limit) - F.max("m")).alias("step"))
+    runs = runs.select("__h", "__run", upon("l").alias("l0"), upon("s").alias("s0")).join(whole, "__h")
+    here = Window.partitionBy("__h", "__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("__l", F.coalesce(F.sum("__large").over(here), F.lit(0))).withColumn("__s", F.coalesce(F.sum("__small").over(here), F.lit(0))).join(runs, ["__h", "__run"])
+    part = F.when(F.col("__large") == 1, F.col("l0") + F.col("__l")).otherwise(F.col("n_large") + F.floor((F.col("s0") + F.col("__s")) / F.col("step")))
+    own = stage(own.withColumn("shard_part", part.cast("int")).drop("__at", "__run", "__large", "__small", "__l", "__s", "l0", "s0", "n_large", "step"), f"{name}-parts")
+    sums = own.groupBy("__h", "shard_part").agg(F.sum("__b").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    return own.drop("shard_bytes", "shard_docs").join(sums, ["__h", "shard_part"])
+
+
+def shard(docs: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = 128 << 20, slack_bits: int = 5, name: str = "shards") -> DataFrame:
     """Rows of ``docs`` with shard_depth, shard_prefix, shard_bytes, shard_docs and shard_part.
 
     size: bytes of a row (by default the UTF-8 bytes of column ``text``; null or empty: 0). Null keys hash
     as the empty text; rows with equal keys share a bucket. What no bit can split (one hash value) is
-    divided into shard_part 0, 1, ... by ``salt``, a hash of the row's content, so a hot key spreads too:
-    only copies of one row, or one row over the limit, can stay over it. No rows in: no rows out. Columns
-    of ``docs`` with the new names are replaced; other columns pass through.
+    divided into shard_part 0, 1, ... by running bytes, so a hot key spreads too, copies of one row as well;
+    shard_bytes and shard_docs are then the part's. Only a single row over the limit can stay over it. No rows
+    in: no rows out. Columns of ``docs`` with the new names are replaced; other columns pass through.
     """
     size = F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("long")
-    salt = F.xxhash64("text") if salt is None else salt
-    rows = docs.drop(*COLUMNS).withColumn("__h", prefix_hash(F.col(key))).withColumn("__b", size).withColumn("__salt", salt)
+    rows = docs.drop(*COLUMNS).withColumn("__h", prefix_hash(F.col(key))).withColumn("__b", size)
     weights = stage(rows.groupBy(F.col("__h").alias("h")).agg(F.sum("__b").alias("n_bytes"), F.count("*").alias("n_docs")), f"{name}-weights")
     total = weights.agg(F.sum("n_bytes")).first()[0] or 0
     coarse = min(BITS - 1, max(0, math.ceil(math.log2(max(1, total / limit)))) + slack_bits)
@@ -73,6 +98,10 @@ def shard(docs: DataFrame, key: str = "doc_id", size: Column | None = None, salt
     names = COLUMNS[:4]
     met = rows.withColumn("__c", F.shiftright("__h", BITS - coarse)).join(by_cell.select("__c", F.struct(*names).alias("__s")), "__c", "left").join(by_hash.select("__h", F.struct(*names).alias("__d")), "__h", "left")
     met = met.withColumn("__s", F.coalesce("__s", "__d"))
-    parts = F.ceil(F.col("shard_bytes") * 1.25 / limit).cast("long")
-    part = F.when(F.col("shard_bytes") <= limit, F.lit(0)).otherwise(F.pmod("__salt", parts).cast("int"))
-    return met.select(*docs.drop(*COLUMNS).columns, *(F.col(f"__s.{c}").alias(c) for c in names), "__salt").withColumn("shard_part", part).drop("__salt")
+    met = met.select(*docs.drop(*COLUMNS).columns, *(F.col(f"__s.{c}").alias(c) for c in names), "__h", "__b")
+    plain = [*docs.drop(*COLUMNS).columns, *COLUMNS]
+    full = (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
+    if shallow.unionByName(below).filter(full).isEmpty():
+        return met.withColumn("shard_part", F.lit(0)).select(*plain)
+    fits = met.filter(~full).withColumn("shard_part", F.lit(0))
+    return fits.select(*plain).unionByName(_parted(met.filter(full), limit, name).select(*plain))

@@ -67,6 +67,24 @@ def test_sharding(spark, docs, none, rows):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_hot_keys(spark, monkeypatch):
+    """Copies of one row and large rows under one key, and null keys: no part but a single row is over the limit, and bytes are the part's."""
+    monkeypatch.setattr(sharding, "RUN_BITS", 3, raising=False)
+    copies = [(7, "c" * 90)] * 300
+    large = [(8, x * 5400) for x in "abc"] + [(8, "d" * 20000), (8, "e" * 4500), (8, "f" * 10), (8, None)]
+    null = [(None, "n" * (i % 50)) for i in range(1000)] + [(None, "")] * 20
+    data = [*copies, *large, *null, (1, "one")]
+    got = sharding.shard(spark.createDataFrame(data, "doc_id long, text string").repartition(5), limit=9000, name="hot").toPandas()
+    same = lambda x: sorted(x, key=str)
+    assert same((None if r.doc_id != r.doc_id else int(r.doc_id), r.text) for r in got.itertuples()) == same(data)
+    for _, own in got.groupby(["shard_depth", "shard_prefix", "shard_part"]):
+        size = sum(len((t or "").encode()) for t in own.text)
+        assert (size <= 9000 or len(own) == 1) and set(own.shard_bytes) == {size} and set(own.shard_docs) == {len(own)}
+    for k, least in ((7, 4), (8, 5)):
+        parts = set(got[got.doc_id == k].shard_part)
+        assert parts == set(range(len(parts))) and least <= len(parts) <= 2 * least
+
+
 def test_chat(spark):
     says = r"\### Assistant: </turn> ok"
     data = [(-7, 0, "user", says, 1), (-7, 1, "assistant", says, 1), (1, 0, "system", None, 1), (1, 1, "user", "###</turn>\n:\n\\h", 1), (1, 2, "assistant", "a", 1), (1, 3, "user", "b", 1), (1, 4, "assistant", "", 1), (2, 0, "user", "q", 1), (2, 0, "user", "q", 1), (None, 0, "assistant", "é", 1)]
