@@ -4,6 +4,7 @@ Arrow text buffers, and vectorised 64-bit polynomial hashing of byte ranges."""
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The cluster's spark.checkpoint.dir; where that is unset, a folder of our own in a single process (as in tests), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # a running session does not let this setting be changed
+        if not re.match(r"local(\[[^,\]]*[,\d]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_folder()
     return base.rstrip("/")
 
@@ -72,35 +75,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Modulus of the polynomial hashes, a prime, and two primitive roots of it: each is the base of one half of a hash.
+PRIME = (1 << 31) - 1
+_BASES = (1103515245, 1977654935)
+_SHIFT, _MASK = np.uint64(31), np.uint64(PRIME)
+_BYTES = [1 + mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) % np.uint64(PRIME - 1) for m in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
+_powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, but for a few multiples of it: under 2**33 for any x."""
+    return (x & _MASK) + (x >> _SHIFT)
+
+
+def _grown(n: int) -> None:
+    """Powers of the bases, and of their inverses, up to the n-th at least."""
+    size = len(_powers[0][0])
+    while size < n:
+        for k, base in enumerate(_BASES):
+            _powers[k] = tuple(np.concatenate([x, x * np.uint64(pow(b, size, PRIME)) % np.uint64(PRIME)]) for x, b in zip(_powers[k], (base, pow(base, -1, PRIME))))
+        size *= 2
 
 
 class RangeHash:
-    """Polynomial hashes, modulo 2**64, of any byte ranges of one buffer: equal bytes give equal values."""
+    """Polynomial hashes, modulo a prime in two bases, of any byte ranges of one buffer: equal bytes give equal values."""
 
     def __init__(self, data: np.ndarray):
-        power, self._inverse = _grown(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * power[: len(data)], out=self._sums[1:])
+        _grown(len(data) + 1)
+        self._sums = []
+        for (power, _), value in zip(_powers, _BYTES):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_folded(value[data] * power[: len(data)]), out=sums[1:])
+            self._sums.append(sums)
+
+    def _hashed(self, differences, inverses) -> np.ndarray:
+        halves = []
+        for d, inverse in zip(differences, inverses):
+            x = _folded(_folded(_folded(_folded(d)) * inverse))
+            halves.append(np.where(x >= _MASK, x - _MASK, x))
+        return mix((halves[0] << np.uint64(32)) | halves[1])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
+        return self._hashed((s[end] - s[start] for s in self._sums), (inverse[start] for _, inverse in _powers))
 
     def grams(self, k: int) -> np.ndarray:
-        n = len(self._sums) - k
-        return mix((self._sums[k:] - self._sums[:n]) * self._inverse[:n])
+        n = len(self._sums[0]) - k
+        return self._hashed((s[k:] - s[:n] for s in self._sums), (inverse[:n] for _, inverse in _powers))
 
 
 def rows_of(batches):

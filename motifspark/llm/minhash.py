@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray,
     doc = np.searchsorted(off, s, "right") - 1
     value = np.zeros(len(word), np.uint64)
     length = np.zeros(len(word), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(word))):
         inside = np.zeros(len(word), bool)
         inside[: len(word) - k] = doc[k:] == doc[: len(word) - k]
         value[inside] = mix(value[inside] * np.uint64(0x9E3779B97F4A7C15) + word[np.flatnonzero(inside) + k] + np.uint64(k + 1))

@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from motifspark.llm import chat, minhash, packing, pieces, pivots, quality, sharding, suffix_dedup, toxicity, vptree  # noqa: E402
+from motifspark.llm.common import RangeHash  # noqa: E402
 from motifspark.llm.components import components  # noqa: E402
 from motifspark.llm.queries import tokenizer  # noqa: E402
 
@@ -238,6 +239,32 @@ def test_keep_one_rows(spark):
     assert sorted((r for r in got if not (r[1] or "").strip()), key=str) == sorted(rows[-4:], key=str)
 
 
+def test_range_hash():
+    """Equal bytes, equal hashes; the Thue-Morse words, which collide modulo any power of two, differ."""
+    a, b = b"a", b"b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    data = np.frombuffer(a + b + a, np.uint8)
+    hashed, n = RangeHash(data), len(a)
+    x, y, z = hashed(np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+    assert x == z and x != y
+    grams = hashed.grams(1024)
+    seen = {}
+    for i, h in enumerate(grams.tolist()):
+        assert seen.setdefault(h, data[i : i + 1024].tobytes()) == data[i : i + 1024].tobytes()
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_shingles_of_short_slices(words):
+    """Slices that hold fewer words in all than a shingle has."""
+    for own in (["a"], ["hello world"], ["a", "b"], ["", "x y"], ["a b c"], ["a b", "C"], ["a b c d"], ["", ""]):
+        raw = [t.encode() for t in own]
+        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        doc, value = minhash.shingles(np.frombuffer(b"".join(raw), np.uint8), off, words)
+        assert doc.tolist() == [i for i, t in enumerate(own) if t] and len(set(value.tolist())) == len(doc)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(60, 61), (61, 60), (62, 62), (None, 3)], "a long, b long")
     assert {r.node: r.component for r in components(edges).filter("node <> 62").collect()} == {**{i: 0 for i in range(51)}, 60: 60, 61: 60}
