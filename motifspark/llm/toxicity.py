@@ -1,10 +1,12 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 P(grade >= k) = logistic(w . x - threshold_k), with one weight vector for all thresholds. Features are hashed
-words and hashed word beginnings of 4 and 5 bytes, counted in the whole text. Labels are 0 or 1 only, so the
-training grade of a toxic text rises with how many of its words the training labels themselves mark as toxic
-(by log odds). The fit sees a bounded sample (``toxic`` and ``clean`` rows by hash order, documented
-parameters); scoring uses whole texts of all rows. Expected severity is the sum of the P(grade >= k).
+words and hashed word beginnings of 4 and 5 bytes, counted in the whole text. Only features whose share of toxic
+texts differs from that of clean ones beyond chance are used (likelihood ratio, 5 % over all features together), so
+a few labels give few features and no model of noise. Labels are 0 or 1 only; for three grades of severity, the
+toxic training texts are parted into thirds by their evidence, the sum of the log odds of their features. The fit
+sees a bounded sample (``toxic`` and ``clean`` rows by hash order, documented parameters); scoring uses whole texts
+of all rows. Expected severity is the sum of the P(grade >= k).
 """
 
 from __future__ import annotations
@@ -106,38 +108,53 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return w, first + np.concatenate([[0], np.cumsum(np.log1p(np.exp(gaps)))])
 
 
+def telling(found: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """(feature, odds, g) of ``found`` (label, feature), one row for each text and feature: log odds of a toxic text to a clean
+    one, and the likelihood ratio of that feature against chance, where it is over the bar for all features together."""
+    by = stage(found.groupBy("feature").agg(F.sum(F.col("label").cast("double")).alias("a"), F.sum((F.lit(1) - F.col("label")).cast("double")).alias("b")), "toxicity-counts")
+    bar = 2 * np.log(20 * max(1, by.count()))
+    a, b, share = F.col("a"), F.col("b"), toxic / (toxic + clean)
+    f = a + b
+    cells = ((a, f * share), (b, f * (1 - share)), (toxic - a, toxic - f * share), (clean - b, clean - f * (1 - share)))
+    g = sum((F.when(x > 0, x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0)) * 2
+    odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
+    return by.select("feature", odds.alias("odds"), g.alias("g")).filter(F.col("g") > float(bar))
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000, keep: int = 3000, name: str = "toxicity") -> Ordinal:
-    """A model from labels (doc_id, toxic) of ``docs``. Without toxic rows nothing is toxic."""
+    """A model from labels (doc_id, toxic: 0 or 1) of ``docs``.
+
+    toxic, clean: rows of each label that the fit sees at most, by hash order of doc_id. keep: features at most, those
+    that tell most. Null labels and null ids are passed over; a doc_id with both labels counts as toxic, and a repeated
+    doc_id is one text with the features of all its rows. Null and empty texts have no features. Without toxic rows, or
+    without a feature that tells, nothing is toxic.
+    """
     none = Ordinal(np.zeros(0, np.int64), np.zeros(0), np.array([20.0, 21.0, 22.0]))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     known = known.join(own.select("doc_id"), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id", F.lit(8)), F.col("doc_id"))
-    chosen = known.filter("label = 1").orderBy(*order).limit(toxic).unionByName(known.filter("label = 0").orderBy(*order).limit(clean))
-    found = stage(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_listed, "doc_id long, label int, feature long, n long"), f"{name}-features")
-    totals = {r["label"]: r["c"] for r in found.groupBy("label").agg(F.count_distinct("doc_id").alias("c")).collect()}
-    if not totals.get(1):
+    chosen = stage(known.filter("label = 1").orderBy(*order).limit(toxic).unionByName(known.filter("label = 0").orderBy(*order).limit(clean)), f"{name}-chosen")
+    ids = {r["doc_id"]: (i, r["label"]) for i, r in enumerate(chosen.orderBy("doc_id").collect())}
+    label = np.array([y for _, y in ids.values()], np.int64)
+    if not label.any():
         return none
-    by = found.groupBy("feature").agg(F.sum(F.col("label").cast("long")).alias("a"), F.sum(F.lit(1) - F.col("label")).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (totals[1] + 1)) - F.log((F.col("b") + 0.5) / (totals.get(0, 0) + 1))
-    best = by.withColumn("z", odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))).filter("a >= 3 or b >= 20")
-    picked = [(r["feature"], r["z"]) for r in best.orderBy(F.abs("z").desc(), "feature").limit(keep).select("feature", "z").collect()]
+    listed = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_listed, "doc_id long, label int, feature long, n long")
+    found = stage(listed.groupBy("doc_id", "label", "feature").agg(F.sum("n").alias("n")), f"{name}-features")
+    best = telling(found, int(label.sum()), int((1 - label).sum()))
+    picked = {r["feature"]: r["odds"] for r in best.orderBy(F.desc("g"), "feature").limit(keep).collect()}
     if not picked:
         return none
-    features = np.array(sorted(f for f, _ in picked), np.int64)
-    marked = {f for f, z in picked if z > 4}
-    kept = found.join(F.broadcast(docs.sparkSession.createDataFrame([(int(f),) for f in features], "feature long")), "feature")
-    ids = {r["doc_id"]: (i, r["label"]) for i, r in enumerate(chosen.orderBy("doc_id").dropDuplicates(["doc_id"]).collect())}
-    rows = kept.toArrow()
+    features = np.array(sorted(picked), np.int64)
+    odds = np.array([picked[f] for f in features.tolist()])
+    kept = found.join(F.broadcast(docs.sparkSession.createDataFrame([(f,) for f in features.tolist()], "feature long")), "feature")
+    rows = kept.select("doc_id", "feature", "n").orderBy("doc_id", "feature").toArrow()
     r = np.array([ids[d][0] for d in rows.column("doc_id").to_pylist()], np.int64)
-    f, n = rows.column("feature").to_numpy(), rows.column("n").to_numpy()
-    hits = np.bincount(r, np.where(np.isin(f, list(marked)), n, 0), minlength=len(ids))
-    label = np.zeros(len(ids), np.int64)
-    for i, y in ids.values():
-        label[i] = y
-    grades = np.where(label > 0, 1 + (hits >= 4) + (hits >= 8), 0)
-    w, thresholds = fit_ordinal(r, np.searchsorted(features, f), np.log1p(n), grades, len(features))
-    return Ordinal(features, w, thresholds)
+    f, n = np.searchsorted(features, rows.column("feature").to_numpy()), np.log1p(rows.column("n").to_numpy())
+    evidence = np.bincount(r, n * odds[f], minlength=len(ids))
+    cuts = np.quantile(evidence[label > 0], np.arange(1, GRADES) / GRADES)
+    grades = np.where(label > 0, 1 + (evidence[:, None] > cuts[None]).sum(1), 0)
+    return Ordinal(features, *fit_ordinal(r, f, n, grades, len(features)))
 
 
 def _scored(model, kept: list[str], body: str):
@@ -162,8 +179,8 @@ def _scored(model, kept: list[str], body: str):
 def score(docs: DataFrame, model: Ordinal, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with severity (expected grade, 0 to 3), p_toxic and rejected (p_toxic >= threshold).
 
-    Null texts count as empty; an empty text has no feature and the severity that the thresholds alone give.
-    Columns with the new names are replaced. Repeated rows get equal values. No rows in: no rows out.
+    Null texts count as empty; an empty text has no feature and the severity that the thresholds alone give. Very long
+    texts are taken whole. Columns with the new names are replaced. Repeated rows get equal values. No rows in: no rows out.
     """
     plain = docs.drop("severity", "p_toxic", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
