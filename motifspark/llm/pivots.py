@@ -74,25 +74,27 @@ def top(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarr
 def _local(k: int, pivots: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return result([], [], [], pa.int64())
-        own, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        q, n, s = [], [], []
+            return result([], [], [], [], pa.int64())
+        own, key, ids = left.column("vec_id").to_numpy(), left.column("query").to_numpy(), right.column("vec_id").to_numpy()
+        q, h, n, s = [], [], [], []
         for i, names, scores in top(matrix(left.column("v")), own, matrix(right.column("v")), ids, k, pivots):
             q.append(np.full(len(names), own[i]))
+            h.append(np.full(len(names), key[i]))
             n.append(names)
             s.append(np.rint(scores).astype(np.int64))
-        return result(np.concatenate(q), np.concatenate(n), np.concatenate(s), pa.int64())
+        return result(np.concatenate(q), np.concatenate(h), np.concatenate(n), np.concatenate(s), pa.int64())
 
     return run
 
 
-def top_inner_products(table: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, k: int = 20, pivots: int = 16, shard_rows: int = 16384, block_rows: int = 512) -> DataFrame:
+def top_inner_products(table: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, k: int = 20, pivots: int = 16, shard_rows: int = 8192, block_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest integer inner products of every query row with all others.
 
     Components become floor(scale * x), x as double. Candidates are all rows but those with the query's own id;
     ties go to the smaller id; with fewer than k candidates all are returned. Rows whose id is null or whose
     vector is null, empty or holds null or non-finite components take no part; zero vectors do. Sums are exact
-    while they stay under 2**53. An empty table gives no rows. Other columns are not used.
+    while they stay under 2**53. Repeated rows are candidates each, and one query together; query rows with one id
+    and other vectors have k rows each. An empty table gives no rows. Other columns are not used.
     """
     rows = valid_vectors(table.filter(F.col(id).isNotNull()), vector)
     whole = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))

@@ -103,9 +103,15 @@ class Voters:
         for i in range(0, len(rows), 512):
             cosine = x[i : i + 512] @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            # similarity by what it is above the k-th, so a close neighbour outvotes many far ones
-            w = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 0) ** 20 + 1e-9
+            best = np.take_along_axis(cosine, near, 1)
+            # a high power of the similarity, so that a close neighbour outvotes many far ones
+            w = np.maximum(best.astype(np.float64), 0) ** 20 + 1e-9
             out[i : i + 512] = (w * self.labels[near]).sum(1) / w.sum(1)
+            least = best.min(1)
+            for r in np.flatnonzero((cosine >= least[:, None]).sum(1) > k):  # all that tie for the last place vote
+                tied = cosine[r] >= least[r]
+                w = np.maximum(cosine[r][tied].astype(np.float64), 0) ** 20 + 1e-9
+                out[i + r] = (w * self.labels[tied]).sum() / w.sum()
         return np.clip(out, 0, 1)
 
 
@@ -127,7 +133,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, sample: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48, neighbours: int = 15) -> Voters:
-    """Voters from labels (doc_id, quality) of ``docs``; without any, every text scores 1."""
+    """Voters from labels (doc_id, quality: 0 or 1) of ``docs``; without any, every text scores 1.
+
+    sample: labelled rows at most, by hash order of doc_id; none has crc32(doc_id) mod 5 = 0. Null labels and null ids are
+    passed over; a row of labels is a vote, so a doc_id with both labels votes for both, and a repeated doc_id for each row.
+    """
     rows = training_rows(docs, labels, "quality", sample).select("text", "label").mapInArrow(_measured, "label int, row binary").toArrow()
     if not rows.num_rows:
         return Voters(np.zeros((0, WIDTH), np.float32), np.zeros(0))
@@ -150,8 +160,10 @@ def _scored(voters, kept: list[str], body: str):
 def score(docs: DataFrame, voters: Voters, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1, higher: better) and predicted (1 if score >= threshold).
 
-    Only the text makes the score; null counts as empty, and empty texts are scored like any other. Columns
-    with the new names are replaced. Repeated rows get equal scores. No rows in: no rows out.
+    Only the text makes the score: the share of label 1 among the nearest labelled texts, weighted by similarity; all
+    that tie for the last place vote. Null counts as empty. An empty text is like none, so all labelled texts vote alike.
+    Very long texts are taken whole. Columns with the new names are replaced. Repeated rows get equal scores. No rows
+    in: no rows out.
     """
     plain = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(voters)

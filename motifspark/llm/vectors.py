@@ -31,19 +31,23 @@ def searched(base: DataFrame, queries: DataFrame, local, k: int, ascending: bool
 
     base, queries: (vec_id, v). Every shard of vectors meets every block of queries once, in one task of at
     most about shard_rows and block_rows rows; ``local(queries, vectors)`` gives each query's best there, so
-    what the merge sorts is k rows for each query and shard. Vectors meet queries of equal length only.
+    what the merge sorts is k rows for each query and shard. Shards and blocks of one size copy least: n vectors and
+    m queries move n * m * (1 / shard_rows + 1 / block_rows) rows. Vectors meet queries of equal length only.
+    Query rows with one id and one vector are one query; with one id and other vectors each is its own, and has k rows.
     """
+    asked = queries.groupBy("vec_id", "v").agg(F.xxhash64(F.first("vec_id"), F.first("v")).alias("query"))
     n, m = base.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(m / block_rows))
     dim = F.size("v").alias("dim")
-    left = queries.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    left = asked.select("vec_id", "v", "query", dim, F.pmod("query", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     right = base.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))
     keys = ["dim", "block", "shard"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(local, f"query_id long, vec_id long, score {kind}")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(local, f"query_id long, query long, vec_id long, score {kind}")
     score = F.col("score") if ascending else F.col("score").desc()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(score, "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(score, "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def result(query_ids, vec_ids, scores, kind=pa.float64()) -> pa.Table:
-    return pa.table([pa.array(query_ids, pa.int64()), pa.array(vec_ids, pa.int64()), pa.array(scores, kind)], names=["query_id", "vec_id", "score"])
+def result(query_ids, queries, vec_ids, scores, kind=pa.float64()) -> pa.Table:
+    names = ["query_id", "query", "vec_id", "score"]
+    return pa.table([pa.array(query_ids, pa.int64()), pa.array(queries, pa.int64()), pa.array(vec_ids, pa.int64()), pa.array(scores, kind)], names=names)

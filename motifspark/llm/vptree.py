@@ -88,23 +88,24 @@ def walk(node, q: np.ndarray, best: Best, vectors: np.ndarray, ids: np.ndarray,
 def _local(k: int, factor: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return result([], [], [])
-        own, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+            return result([], [], [], [])
+        own, key, ids = left.column("vec_id").to_numpy(), left.column("query").to_numpy(), right.column("vec_id").to_numpy()
         vectors = matrix(right.column("v"))
         best = Best(matrix(left.column("v")), own, k)
         walk(build(vectors, np.arange(len(ids))), np.arange(len(own)), best, vectors, ids, factor)
         q, at = np.nonzero(np.isfinite(best.d))
-        return result(own[q], best.ids[q, at], best.d[q, at])
+        return result(own[q], key[q], best.ids[q, at], best.d[q, at])
 
     return run
 
 
-def nearest(table: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "embedding", k: int = 10, factor: float = 1.0, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "embedding", k: int = 10, factor: float = 1.0, shard_rows: int = 8192, block_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of every query row, by Euclidean distance in doubles.
 
     Candidates are all rows but those with the query's own id; ties go to the smaller id; with fewer than k
     candidates all are returned. Rows whose id is null or whose vector is null, empty, zero or holds null or
-    non-finite components take no part. An empty table gives no rows. Other columns are not used.
+    non-finite components take no part. Repeated rows are candidates each, and one query together; query rows with
+    one id and other vectors have k rows each. An empty table gives no rows. Other columns are not used.
     """
     rows = valid_vectors(table.filter(F.col(id).isNotNull()), vector, zero=False)
     base = rows.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))

@@ -23,6 +23,20 @@ def suffix_dedup(texts, window=200):
     return out
 
 
+def cut_texts(texts, window=200):
+    """Texts without repeated bytes; a character that a cut goes through goes as a whole."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + window] for r in raw for i in range(len(r) - window + 1))
+    out = []
+    for r in raw:
+        gone = bytearray(len(r))
+        for i in range(len(r) - window + 1):
+            if seen[r[i : i + window]] > 1:
+                gone[i : i + window] = b"\1" * window
+        out.append("".join(r[m.start() : m.end()].decode("utf-8", "ignore") for m in re.finditer(b"\0+", bytes(gone))))
+    return out
+
+
 def shingle_set(text, words):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not w:
@@ -57,8 +71,8 @@ def near_groups(rows, words, percent=80):
     return {i: (len(sets[i]), least[root(i)]) for i in range(len(rows))}
 
 
-def check_packing(pieces, texts, path, window=1024):
-    """Asserts that pieces (a data frame) hold every id of texts {id: text} once; the padding share."""
+def check_ids(pieces, texts, path):
+    """Asserts that pieces (a data frame) hold every id of texts {id: text} once."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -72,6 +86,11 @@ def check_packing(pieces, texts, path, window=1024):
             at += p.length
         assert at == len(ids[k])
     assert set(pieces.doc_id) == set(ids)
+
+
+def check_packing(pieces, texts, path, window=1024):
+    """``check_ids``, and that sequences are gapless and fit; the padding share."""
+    check_ids(pieces, texts, path)
     padded = 0
     for _, own in pieces.groupby("sequence_id"):
         own = own.sort_values("offset")
