@@ -5,15 +5,16 @@ the best is merged until no pair makes a piece. No piece of such a vocabulary jo
 start of a word (a space mark after another character), which the model is checked for, so every word has
 an agenda of its own: short words go through theirs together, as numpy rows, long ones through a heap.
 Each distinct word of an Arrow batch is encoded once, and checked against the sentencepiece library there;
-should they ever differ, the library's ids are taken and counted.
+should they ever differ, the library's ids are taken and the word is counted in every row that has it.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import rows_of, slices, text_buffers
 
 MARK = "▁"
-#: Words in a worker's cache, at most; characters of a word that still goes through the rows.
-CACHE, ROW = 200_000, 40
+#: Words in each of a worker's two caches, about; characters of a word that still goes through the rows.
+CACHE, ROW = 150_000, 40
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 _FAR = np.iinfo(np.int32).max
 _models: dict = {}
@@ -49,6 +50,10 @@ class Vocabulary:
             for c in p:
                 symbols.setdefault(c, len(symbols) + size)
         self.symbols = symbols
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
         # an equal score is an equal rank, so that ties go to the left
         ranks = {s: r for r, s in enumerate(sorted({sp.get_score(i) for i in self.pieces.values()}, reverse=True))}
         pairs = {}
@@ -62,6 +67,7 @@ class Vocabulary:
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
         self.numbers = list(range(size))
+        self.decimals = [b"%d" % i for i in range(size)]
 
     def found(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, piece) of symbol pairs; a pair that makes no piece has the last rank."""
@@ -102,39 +108,42 @@ class Vocabulary:
         return [x for i in range(n) if sym[i] != -2 for x in self.ids(sym[i], word[i])]
 
     def rows(self, words: list[str]) -> list[list[int]]:
-        """Ids of short words, whose agendas advance together, one merge in each word at a time."""
-        get = self.symbols.get
-        n, width = len(words), max(map(len, words))
-        sym = np.full((n, width + 1), -1, np.int64)
-        at = np.full((n, width + 1), -1, np.int32)
-        for r, w in enumerate(words):
-            sym[r, : len(w)] = [get(c, -1) for c in w]
-            at[r, : len(w)] = range(len(w))
-        rank, made = self.found(sym[:, :-1], sym[:, 1:])
+        """Ids of short words, whose agendas advance together, one merge in each word at a time.
+
+        Symbols of a word are linked from place to place; ``rank`` at a place is that of the pair which begins there.
+        """
+        n, width = len(words), max(map(len, words)) + 1
+        size = np.fromiter(map(len, words), np.int64, n)
+        inside = np.arange(width)[None] < size[:, None]
+        sym = np.full((n, width), -1, np.int64)
+        sym[inside] = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        rank, made = np.full((n, width), _FAR, np.int32), np.zeros((n, width), np.int64)
+        rank[:, :-1], made[:, :-1] = self.found(sym[:, :-1], sym[:, 1:])
+        right = np.tile(np.arange(1, width + 1), (n, 1)).reshape(-1)
+        left = np.tile(np.arange(-1, width - 1), (n, 1)).reshape(-1)
+        flat, ranks, makes = sym.reshape(-1), rank.reshape(-1), made.reshape(-1)
         live = np.arange(n)
-        out: list = [None] * n
         while len(live):
-            k = rank.argmin(1)
-            more = rank[np.arange(len(live)), k] != _FAR
-            for r in np.flatnonzero(~more):
-                row, where, word = sym[r].tolist(), at[r].tolist(), words[live[r]]
-                out[live[r]] = [x for s, i in zip(row, where) if i >= 0 for x in self.ids(s, word[i])]
-            live, sym, at, rank, made, k = live[more], sym[more], at[more], rank[more], made[more], k[more]
-            if not len(live):
-                break
-            m = np.arange(len(live))
-            sym[m, k] = made[m, k]
-            # what stands right of the merged pair moves up by one
-            from_ = np.arange(sym.shape[1] - 1)[None] + (np.arange(sym.shape[1] - 1)[None] > k[:, None])
-            sym, at = np.take_along_axis(sym, from_, 1), np.take_along_axis(at, from_, 1)
-            if sym.shape[1] < 2:
-                rank = np.full((len(live), 1), _FAR)
-                made = np.zeros((len(live), 1), np.int64)
-                continue
-            rank, made = np.take_along_axis(rank, from_[:, :-1], 1), np.take_along_axis(made, from_[:, :-1], 1)
-            for j in (k - 1, k):
-                ok = (j >= 0) & (j < rank.shape[1])
-                rank[m[ok], j[ok]], made[m[ok], j[ok]] = self.found(sym[m[ok], j[ok]], sym[m[ok], j[ok] + 1])
+            k = rank[live].argmin(1)
+            more = ranks[live * width + k] != _FAR
+            live, k = live[more], k[more]
+            row = live * width
+            i = row + k
+            j = row + right[i]
+            far = right[j]
+            flat[i], flat[j], ranks[j] = makes[i], -2, _FAR
+            right[i], left[row + far] = far, k
+            ranks[i], makes[i] = self.found(flat[i], flat[row + far])
+            ok = left[i] >= 0
+            i, b = i[ok], (row + left[i])[ok]
+            ranks[b], makes[b] = self.found(flat[b], flat[i])
+        kept = inside & (sym != -2)
+        at = np.concatenate([[0], np.cumsum(kept.sum(1))]).tolist()
+        ids, number = list(map(self.numbers.__getitem__, np.clip(sym[kept], 0, len(self.numbers) - 1).tolist())), len(self.numbers)
+        out = [ids[x:y] for x, y in pairwise(at)]
+        for r in np.flatnonzero((kept & ((sym < 0) | (sym >= number))).any(1)).tolist():
+            word = words[r]
+            out[r] = [x for i in np.flatnonzero(kept[r]).tolist() for x in self.ids(int(sym[r, i]), word[i])]
         return out
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -152,9 +161,28 @@ class Vocabulary:
         return out
 
 
-def model(path: str) -> tuple[Vocabulary, dict]:
+class Words:
+    """Encoded words of a worker, in two halves: words that are asked for again move to the new half, and the old half goes
+    when the new one is full, so common words stay while rare ones pass."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.corrected: set[str] = set()
+
+    def lacking(self, words: set[str]) -> list[str]:
+        """Words that are in neither half; those in the old one move."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        rest = words - self.new.keys()
+        again = rest & self.old.keys()
+        self.new.update((w, self.old.pop(w)) for w in again)
+        return list(rest - again)
+
+
+def model(path: str) -> tuple[Vocabulary, Words]:
     if path not in _models:
-        _models[path] = (Vocabulary(path), {})
+        _models[path] = (Vocabulary(path), Words())
     return _models[path]
 
 
@@ -167,41 +195,41 @@ def words_of(text: str) -> list[str]:
     return [c[1:].replace(" ", MARK) for c in _CHUNK.findall(" " + text)]
 
 
-def learn(vocabulary: Vocabulary, cache: dict, words: list[str]) -> int:
-    """Put words into the cache as (ids, decimal ids); how many the library encodes otherwise."""
-    differ = 0
-    number = vocabulary.numbers
-    checked = vocabulary.library.encode(words, num_threads=1)
-    for w, own, theirs in zip(words, vocabulary.encode_words([MARK + w for w in words]), checked):
-        if own != theirs and w:
-            own, differ = theirs, differ + 1
-        cache[w] = (tuple(number[i] for i in own), b" ".join(b"%d" % i for i in own))
-    return differ
+def learned(vocabulary: Vocabulary, cache: Words, split: list[list[str]]) -> dict[str, tuple]:
+    """(ids, decimal ids) of all words of some texts; those that the library encodes otherwise are remembered."""
+    words = cache.lacking({w for ws in split for w in ws})
+    gc.disable()  # many small lists without cycles: looking for some took a third of the time
+    try:
+        checked = vocabulary.library.encode(words, num_threads=1) if words else []
+        for w, own, theirs in zip(words, vocabulary.encode_words([MARK + w for w in words]), checked):
+            if own != theirs and w:
+                own = theirs
+                cache.corrected.add(w)
+            cache.new[w] = tuple(own), b" ".join([vocabulary.decimals[i] for i in own])
+    finally:
+        gc.enable()
+    return cache.new
 
 
 def _coded(path: str, keys: list[str]):
     def run(batches):
         vocabulary, cache = model(path)
-        end = b"%d" % vocabulary.end
+        end, corrected = vocabulary.decimals[vocabulary.end], cache.corrected
         for b in rows_of(batches):
             _, off = text_buffers(b.column("text"))
             column = b.column("text")
             counts, shas, decoded, differ = [], [], [], []
             for i, j in slices(off, 1 << 22):
                 split = [words_of(t) for t in column.slice(i, j - i).to_pylist()]
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list({w for ws in split for w in ws} - cache.keys())
-                wrong = learn(vocabulary, cache, new) if new else 0
+                known = learned(vocabulary, cache, split)
                 for ws in split:
-                    got = [cache[w] for w in ws]
+                    got = [known[w] for w in ws]
                     ids = list(chain.from_iterable([g[0] for g in got]))
                     ids.append(vocabulary.end)
                     counts.append(len(ids))
                     shas.append(hashlib.sha256(b" ".join([*[g[1] for g in got], end])).hexdigest())
                     decoded.append(hashlib.sha256(vocabulary.library.decode(ids).encode()).hexdigest())
-                    differ.append(wrong)
-                    wrong = 0
+                    differ.append(sum(w in corrected for w in ws) if corrected else 0)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in keys), pa.array(counts, pa.int64()), pa.array(shas), pa.array(decoded), pa.array(differ, pa.int64())],
                 [*keys, "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"],
@@ -214,10 +242,8 @@ def encode_ids(path: str, texts: list[str]) -> list[list[int]]:
     """Ids of each text, an end id last."""
     vocabulary, cache = model(path)
     split = [words_of(t) for t in texts]
-    new = list({w for ws in split for w in ws} - cache.keys())
-    if new:
-        learn(vocabulary, cache, new)
-    return [[i for w in ws for i in cache[w][0]] + [vocabulary.end] for ws in split]
+    known = learned(vocabulary, cache, split)
+    return [[i for w in ws for i in known[w][0]] + [vocabulary.end] for ws in split]
 
 
 def _listed(path: str, keys: list[str]):
@@ -256,7 +282,8 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
 def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256, n_corrected): digests of ``encode`` and of its decoded text, without moving ids.
 
-    n_corrected: words of the row's batch that the library encoded otherwise, told on the batch's first row (0 is right).
+    n_corrected: words of the row whose agenda gave other ids than the library's, which were then taken (0 is right). Repeated
+    rows get equal digests.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["key"]
