@@ -7,13 +7,15 @@ windows that share an anchor travel as one suffix ("context"). Steps:
 
 1. anchors of every text (numpy on Arrow buffers); grams that occur once are dropped by hash, the
    distinguishing-prefix step of string sorting: such suffixes need not be exchanged;
-2. contexts that are equal as wholes are counted with partial aggregation (a hot passage is one row);
+2. contexts that are equal as wholes are counted with partial aggregation (a hot passage is one row); the places of
+   each gram's most frequent context, if that occurs again, are repeated as they stand and go on to step 5;
 3. one suffix for each distinct context whose gram has several contexts is exchanged: every task sorts its
    suffixes and sends front-coded runs, and each range merges its runs with a loser tree that keeps
    common-prefix lengths and never compares known prefixes again;
 4. in the merged order, suffixes sharing a gram lie together; the windows that their common prefixes allow
    are compared in full, so gram hash collisions don't matter;
-5. repeated windows go back to their texts as byte ranges, by joins on the context and on the row.
+5. repeated windows go back to their texts as byte ranges, by joins on the context (one row for each, with all
+   its ranges) and on the row.
 
 A gram with very many distinct contexts is split: each of its windows becomes a suffix of its own, ranged
 by the hash of its 200 bytes, so one common line never gathers in one task.
@@ -174,12 +176,14 @@ def _runs(window: int, ranges: int):
 
     def run(batches):
         held: dict[int, list] = {}
-        size = 0
+        size, before = 0, None
         for b in rows_of(batches):
             data, off = text_buffers(b.column("text"))
             raw = data.tobytes()
-            for k, contexts in enumerate(b.column("contexts").to_pylist()):
-                base = int(off[k])
+            for k, (rid, contexts) in enumerate(zip(b.column("rid").to_pylist(), b.column("contexts").to_pylist())):
+                if rid == before:  # a repeated row sends nothing that the first did not; its contexts count as repeated anyway
+                    continue
+                base, before = int(off[k]), rid
                 for c in contexts:
                     s, n, at = base + c["pos"], c["n"], c["at"]
                     if c["heavy"]:
@@ -273,20 +277,30 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, he
     """(rid, ranges) of ``texts`` (rid, text): byte ranges [start, end) of every window that occurs elsewhere too."""
     found = stage(texts.mapInArrow(_anchored(window, gram), "g long, t long, rid long, pos long, n int, at int"), f"{name}-anchors")
     # a table of its own, so that the join below it can split a gram that very many texts share
-    often = stage(found.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), f"{name}-often")
-    meet = stage(found.join(often, "g", "left_semi"), f"{name}-meet")
-    contexts = stage(meet.groupBy("g", "t").agg(F.count("*").alias("c"), F.min(F.struct("rid", "pos", "n", "at")).alias("one")), f"{name}-contexts")
-    several = contexts.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    grams = found.groupBy("g", "t").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("c"), F.max(F.struct("c", "t")).alias("most"), F.count("*").alias("m"))
+    often = stage(grams.filter("c > 1").select("g", (F.col("m") > 1).alias("mixed"), F.when(F.col("most.c") > 1, F.col("most.t")).alias("lead")), f"{name}-often")
+    whole = F.coalesce(F.col("t") == F.col("lead"), F.lit(False)).alias("whole")
+    meet = stage(found.join(often, "g").select(*found.columns, "mixed", whole), f"{name}-meet")
+    # the places of a gram's most frequent context are repeated as wholes; of the others the joins below tell
+    mixed = meet.filter("mixed")
+    contexts = stage(mixed.groupBy("g", "t").agg(F.count("*").alias("c"), F.min(F.struct("rid", "pos", "n", "at")).alias("one")), f"{name}-contexts")
+    several = stage(contexts.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), f"{name}-several")
     sent = stage(contexts.join(several, "g").select("g", "t", "one.*", (F.col("m") > heavy).alias("heavy")), f"{name}-sent")
     total = sent.agg(F.sum(F.when(F.col("heavy"), F.col("n")).otherwise(1))).first()[0] or 0
     ranges = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE)
     each = sent.groupBy("rid").agg(F.collect_list(F.struct("g", "t", "pos", "n", "at", "heavy")).alias("contexts"))
-    runs = texts.join(each, "rid").select("text", "contexts").mapInArrow(_runs(window, ranges), "p int, run binary")
+    runs = texts.join(each, "rid").select("rid", "text", "contexts").mapInArrow(_runs(window, ranges), "p int, run binary")
     windows = runs.groupBy("p").applyInArrow(_merged(window, gram), "g long, t long, first int, last int")
-    whole = contexts.filter("c > 1").select("g", "t", F.lit(0).alias("first"), (F.col("one.n") - 1).cast("int").alias("last"))
-    marked = stage(whole.unionByName(windows), f"{name}-windows")
-    back = meet.join(marked, ["g", "t"]).select("rid", F.struct((F.col("pos") + F.col("first")).alias("start"), (F.col("pos") + F.col("last") + window).alias("end")).alias("range"))
-    return back.groupBy("rid").agg(F.collect_set("range").alias("ranges"))
+    whole = contexts.filter("c > 1").select("g", "t", F.lit(0).alias("first"), (F.col("one.n") - 1).cast("int").alias("last"), F.lit(True).alias("whole"))
+    # one row for each context, so that every place of a context meets one; what occurs again as a whole needs no parts
+    span = F.struct("first", "last")
+    parts = whole.unionByName(windows.withColumn("whole", F.lit(False))).groupBy("g", "t")
+    both = parts.agg(F.collect_list(F.when(F.col("whole"), span)).alias("all"), F.collect_list(F.when(~F.col("whole"), span)).alias("some"))
+    marked = stage(both.select("g", "t", F.when(F.size("all") > 0, F.col("all")).otherwise(F.col("some")).alias("shared")), f"{name}-windows")
+    at = F.transform("shared", lambda x: F.struct((F.col("pos") + x["first"]).alias("start"), (F.col("pos") + x["last"] + window).alias("end")))
+    back = mixed.filter("not whole").join(marked, ["g", "t"]).select("rid", at.alias("ranges"))
+    whole = meet.filter("whole").select("rid", F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + window).alias("end"))).alias("ranges"))
+    return back.unionByName(whole).groupBy("rid").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
 
 
 def union_ranges(ranges, length: int) -> list[tuple[int, int]]:
