@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import settle
+from .graph import numbered
 from .metrics import marginals, scores_of
 
 # Fixed value: Student's t, 2 degrees of freedom, 97.5 %.
@@ -23,8 +24,8 @@ def draw_hash(rep: Column, draw: Column, seed: int) -> Column:
 
 
 def positions(ids: DataFrame, id: str) -> DataFrame:
-    """(id, pos): ids (evaluation rows, a bounded table) numbered from 0 in order."""
-    return ids.select(id).distinct().withColumn("pos", (F.row_number().over(Window.orderBy(id)) - 1).cast("long"))
+    """(id, pos): ids of evaluation rows numbered from 0 in order."""
+    return numbered(ids, id, "pos", "positions")
 
 
 def weights(ids: DataFrame, id: str, replicates: int, seed: int) -> DataFrame:

@@ -9,29 +9,44 @@ from ..functions.vectors import dot, hamming, unit
 from ..schema import TRAIN_SOURCE, UNKNOWN_CLUSTER
 from ..tables import settle
 from .densejoin import nearest_centroid
-from .graph import connected_components
+from .graph import connected_components, numbered
+from .hashjoin import near_hashes
 
 
 def dbscan(points: DataFrame, edges: DataFrame, min_samples: int = 5) -> DataFrame:
-    """(id, cluster_id, core) of ``points`` (id): clusters of core points linked by ``edges`` (id, other; both ways, self included or not).
+    """(id, cluster_id, core) of ``points`` (id, perhaps n): clusters of core points linked by ``edges`` (id, other; both ways, self included or not).
 
-    A point is core with min_samples neighbours, itself included. A border point joins the cluster with the
-    smallest number among its core neighbours; clusters are numbered by their smallest core id; noise is -1.
+    n: rows at that very point, 1 if there is no such column. A point is core with min_samples neighbours, all rows at
+    the point included. A border point joins the cluster with the smallest number among its core neighbours; clusters
+    are numbered by their smallest core id; noise is -1.
     """
     pairs = settle(edges.filter("id <> other").select("id", "other").distinct(), "dbscan-pairs")
-    degree = pairs.groupBy("id").agg((F.count("*") + 1).alias("degree"))
-    lone = points.select("id").withColumn("one", F.lit(1).cast("long"))
-    core = settle(lone.join(degree, "id", "left").filter(F.coalesce("degree", "one") >= min_samples).select("id"), "dbscan-core")
+    own = points.select("id", (F.col("n") if "n" in points.columns else F.lit(1)).cast("long").alias("n"))
+    degree = pairs.join(own.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("n").alias("degree"))
+    core = settle(own.join(degree, "id", "left").filter(F.coalesce("degree", F.lit(0)) + F.col("n") >= min_samples).select("id"), "dbscan-core")
     linked = pairs.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "other"), "other", "left_semi")
-    own = core.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    parts = connected_components(linked.select(F.col("id").alias("src"), F.col("other").alias("dst")).unionByName(own), "dbscan")
-    number = parts.select("component").distinct().withColumn("cluster_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("long"))
+    lone = core.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    parts = connected_components(linked.select(F.col("id").alias("src"), F.col("other").alias("dst")).unionByName(lone), "dbscan")
+    number = numbered(parts, "component", "cluster_id", "dbscan-numbers")
     cores = settle(parts.join(number, "component").select(F.col("node").alias("id"), "cluster_id"), "dbscan-cores")
     border = pairs.join(core, "id", "left_anti").join(cores.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
     named = cores.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
     return points.select("id").join(named, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
+def hash_dbscan(rows: DataFrame, radius: int, min_samples: int = 5) -> DataFrame:
+    """(id, cluster_id, core) of ``rows`` (id, h): ``dbscan`` over hashes within ``radius`` bits of each other.
+
+    Distinct hashes are clustered, each with the number of its rows, and rows join them at the end: a hash that n rows
+    share costs one point, not n * n edges. Rows whose hash is null are noise.
+    """
+    points = settle(rows.filter("h is not null").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")), "dbscan-hashes")
+    near = near_hashes(points, points, radius).filter("h <> g")
+    edges = near.join(points.select("h", "id"), "h").join(points.select(F.col("h").alias("g"), F.col("id").alias("other")), "g")
+    found = points.select("id", "h").join(dbscan(points.select("id", "n"), edges, min_samples), "id").select("h", "cluster_id", "core")
+    return rows.select("id", "h").join(found, "h", "left").select("id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"), F.coalesce("core", F.lit(False)).alias("core"))
+
+
 def centroids(rows: DataFrame) -> DataFrame:
     """(cluster_id, v): unit means of the members' vectors (cluster_id, v); noise is left out."""
     mean = rows.filter("cluster_id >= 0").select("cluster_id", F.posexplode("v").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))

@@ -279,7 +279,7 @@ clustered AS (SELECT h.id AS id, CAST(coalesce(c.cluster_id, b.cluster_id, -1) A
 
 def _clustered(spark, d):
     h = S.hashes(spark, d)
-    return h, cluster.dbscan(h, hashjoin.radius_join(h, h, 20), 4)
+    return h, cluster.hash_dbscan(h, 20, 4)
 
 
 @query(f"WITH RECURSIVE {_DBSCAN} SELECT id, cluster_id, core FROM clustered")

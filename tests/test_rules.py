@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from motifspark.functions import labels as L
 from motifspark.functions import urls as U
 from motifspark.functions import vectors as V
-from motifspark.operators import cluster, gate, metrics, raters, replies, rows, vote
+from motifspark.operators import cluster, gate, graph, metrics, raters, replies, rows, vote
 from motifspark.operators.graph import connected_components
 
 
@@ -99,3 +99,19 @@ def test_replies(spark):
     cases = {'{"template_id": true}': "invalid", '{"template_id": 3}': "index", '{"template_id": 3.0}': "index", '{"template_id": "[3]"}': "index", '{"template_id": [3]}': "index", '{"template_id": 3.5}': "invalid", '{"template_id": "x"}': "invalid", '{"template_id": 99}': "invalid", '```json\n{"template_id": 4}\n```': "index", 'noise {"template_id": 4} tail': "index", "nope": "invalid", '{"template": "Tpl 2"}': "name_exact", '{"template": "tpl-2"}': "name_lenient"}
     got = replies.resolve(table(spark, [(k,) for k in cases], "raw_response_text string"), labels)
     assert {r.raw_response_text: r.match_mode for r in got.collect()} == cases
+
+
+def test_hash_dbscan(spark):
+    """A hash that 100,000 rows share is one point; counts of rows make core points; null hashes are noise."""
+    many = spark.range(100_000).select("id", F.lit(0).cast("long").alias("h"))
+    few = spark.createDataFrame([(200_000, 1), (200_001, -1), (200_002, -1), (200_003, -1), (200_004, None), (200_005, 1 << 40)], "id long, h long")
+    got = cluster.hash_dbscan(many.unionByName(few), 1, 3)
+    assert [tuple(r) for r in got.filter("id < 100000").groupBy("cluster_id", "core").count().collect()] == [(0, True, 100_000)]
+    rest = {r.id: (r.cluster_id, r.core) for r in got.filter("id >= 100000").collect()}
+    assert rest == {200_000: (0, True), 200_001: (1, True), 200_002: (1, True), 200_003: (1, True), 200_004: (-1, False), 200_005: (0, True)}
+
+
+def test_numbered(spark):
+    values = spark.range(5000).select((F.col("id") * 7919 % 10007).alias("v")).unionByName(spark.createDataFrame([(None,), (3,), (3,)], "v long"))
+    got = [tuple(r) for r in graph.numbered(values, "v", "n").orderBy("n").collect()]
+    assert got == [(v, i) for i, v in enumerate(sorted({i * 7919 % 10007 for i in range(5000)} | {3}))]
