@@ -335,6 +335,73 @@ def cluster_medoids(spark, d):
     return cluster.medoids(S.hashes(spark, d).select("id", "h", F.col("label").cast("long").alias("cluster_id")))
 
 
+@query(f"WITH RECURSIVE {_DBSCAN}, {_NAMES} SELECT id, cluster_id, coalesce(template, 'UNKNOWN_CLUSTER') AS pred_template FROM clustered LEFT JOIN names USING (cluster_id)")
+def closed_predictions(spark, d):
+    h, c = _clustered(spark, d)
+    names = cluster.name_clusters(c.join(h.withColumn("template", F.concat(F.lit("t"), "label")), "id"))
+    return cluster.closed_predictions(c.select("id", "cluster_id"), names).select("id", "cluster_id", "pred_template")
+
+
+@query(f"WITH RECURSIVE {_DBSCAN}, {_NAMES} SELECT id, cluster_id, coalesce(template, '__OUTLIER__') AS pred_label FROM clustered LEFT JOIN names USING (cluster_id)")
+def open_predictions(spark, d):
+    h, c = _clustered(spark, d)
+    names = cluster.name_clusters(c.join(h.withColumn("template", F.concat(F.lit("t"), "label")), "id"))
+    return cluster.open_predictions(c.select("id", "cluster_id"), names, "__OUTLIER__").select("id", "cluster_id", "pred_label")
+
+
+_TYPICAL = f"""{S.PLANTED}, {_CENTRES}, own AS (SELECT id, source, CASE WHEN id % 7 = 0 THEN -1 ELSE CAST(label AS BIGINT) END AS cluster_id, v FROM planted),
+q AS (SELECT id, source, cluster_id, unnest(v) AS x, unnest(range(64)) AS i FROM own),
+typical AS (SELECT q.id AS id, q.source AS source, q.cluster_id AS cluster_id, coalesce(sum(q.x * mean.x / n), CAST('-inf' AS DOUBLE)) AS score FROM q LEFT JOIN mean USING (cluster_id, i) LEFT JOIN nrm USING (cluster_id) GROUP BY 1, 2, 3)"""
+
+
+def _typical(spark, d):
+    p = S.planted(spark, d)
+    centres = cluster.centroids(p.filter("source = 'imgflip_train'").select("v", F.col("label").cast("long").alias("cluster_id")))
+    own = p.withColumn("cluster_id", F.when(F.col("id") % 7 == 0, F.lit(-1)).otherwise(F.col("label")).cast("long"))
+    return cluster.typicality(own, centres)
+
+
+@query(f"WITH {_TYPICAL} SELECT id, cluster_id, round(score, 6) AS score FROM typical")
+def typicality(spark, d):
+    return _typical(spark, d).select("id", "cluster_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_TYPICAL}, ranked AS (SELECT cluster_id, concat('p/', id) AS image_path, source, row_number() OVER (PARTITION BY cluster_id ORDER BY round(score, 9) DESC, concat('p/', id)) AS k FROM typical WHERE cluster_id >= 0)
+SELECT cluster_id, CASE WHEN cluster_id % 2 = 0 THEN concat('t', cluster_id) ELSE '' END AS template, count(*) AS n_members, count(*) FILTER (source = 'imgflip_train') AS n_labeled_members, string_agg(image_path, '|' ORDER BY k) FILTER (k <= 6) AS example_paths FROM ranked GROUP BY 1""")
+def cluster_examples(spark, d):
+    members = _typical(spark, d).withColumn("image_path", F.concat(F.lit("p/"), "id"))
+    names = members.filter("cluster_id >= 0 and cluster_id % 2 = 0").select("cluster_id", F.concat(F.lit("t"), "cluster_id").alias("template")).distinct()
+    return cluster.cluster_examples(members.drop("template"), names)
+
+
+@query(f"""WITH {S.PLANTED}, {_CENTRES}, q AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS i FROM planted), s AS (SELECT q.id AS id, mean.cluster_id AS cluster_id, sum(q.x * mean.x / n) AS score FROM q JOIN mean USING (i) JOIN nrm USING (cluster_id) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, cluster_id) AS k FROM s) SELECT id, cluster_id FROM r WHERE k = 1""")
+def refined_clusters(spark, d):
+    p = S.planted(spark, d)
+    first = F.when(F.col("source") == "imgflip_train", F.col("label")).otherwise(F.lit(-1)).cast("long")
+    return cluster.refine(p.select("id", "v", first.alias("cluster_id")))[0].select("id", "cluster_id")
+
+
+@query(f"WITH {S.PLANTED}, both_ AS (SELECT id, unnest(list_concat(list_transform(v, lambda x: sqrt(0.3) * x), list_transform(list_reverse(v), lambda x: sqrt(0.7) * x))) AS x, CAST(unnest(range(128)) AS INTEGER) AS i FROM planted) SELECT id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM both_")
+def fused_vectors(spark, d):
+    p = S.planted(spark, d).select("id", V.fuse(F.col("v"), F.reverse("v"), 0.3).alias("v"))
+    return p.select("id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {S.HASHES} SELECT id, CAST(i AS INTEGER) AS i, CASE WHEN (h >> i) & 1 = 1 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END AS x FROM hashes, (SELECT CAST(range AS INTEGER) AS i FROM range(64)) r")
+def hash_signs(spark, d):
+    return S.hashes(spark, d).select("id", F.posexplode(V.bit_signs(F.col("h"))).alias("i", "x"))
+
+
+@query("""WITH a AS (SELECT source AS label, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT source FROM documents)),
+b AS (SELECT source AS label, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT source FROM documents WHERE source <> 'src3'))
+SELECT coalesce(a.label, b.label) AS label, coalesce(a.idx, -1) AS idx_a, coalesce(b.idx, -1) AS idx_b FROM a FULL JOIN b ON a.label = b.label WHERE a.idx IS DISTINCT FROM b.idx""")
+def label_map_changes(spark, d):
+    own = S.labelled_rows(spark, d)
+    one, other = (L.label_index(x).withColumn("label_idx", F.col("label_idx").cast("int")) for x in (own, own.filter("template <> 'src3'")))
+    return rows.label_map_differences(one, other).select("label", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("idx_a", "idx_b")))
+
+
 # ---------------------------------------------------------------- votes and gates (G)
 _EDGES = f"{S.HASHES}, ed AS (SELECT q.id AS id, concat('t', q.label) AS truth, concat('t', r.label) AS label, bit_count(xor(q.h, r.h)) AS dist FROM hashes q JOIN hashes r ON q.source <> 'imgflip_train' AND r.source = 'imgflip_train' AND bit_count(xor(q.h, r.h)) <= 22)"
 
