@@ -269,7 +269,9 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int =
 
 def _linked(docs: DataFrame, text: str, id: str, words: int, percent: int, name: str, pick: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with their set's class, classes (cls, doc_id, part) with the component they are in); pick: with each class's
-    first row (none, doc_id, row) too, null ids last."""
+    first row (none, doc_id, row) too, null ids last. The index and the bounds on signatures are sized for 80 percent and more."""
+    if percent < 80:
+        raise ValueError("links under 80 percent would be missed")
     row = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row")] if pick else []
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), *row, F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = stage(rows.mapInArrow(_signed(words), f"doc_id long, {'row long, ' if pick else ''}n_shingles long, cls long, sig binary"), f"{name}-signed")

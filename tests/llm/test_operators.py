@@ -233,6 +233,8 @@ def test_near_groups(docs, none, rows):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.itertuples()) == sorted((rows[i][0], n, c) for i, (n, c) in want.items())
         assert (got.kept == (got.doc_id == got.component_id)).all()
     assert minhash.groups(none).count() == 0
+    with pytest.raises(ValueError):
+        minhash.groups(none, percent=70)
     kept = {r.doc_id for r in minhash.keep_one(docs).collect()}
     assert 7 in kept and not kept & {8, 900}  # upper-casing 9 changes more than A-Z
 
