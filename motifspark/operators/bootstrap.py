@@ -42,6 +42,16 @@ def replicate_scores(rows: DataFrame, w: DataFrame, keys: list[str], id: str) ->
     return scores_of(marginals(counts, ["rep", *keys]), ["rep", *keys], digits=9)
 
 
+def replicate_binary(rows: DataFrame, w: DataFrame, keys: list[str], id: str, positive: str) -> DataFrame:
+    """(rep, keys, precision, recall, f1) of one class in every replicate; a ratio over nothing is 0. rows: (id, keys, truth, pred)."""
+    t, p = F.col("truth") == positive, F.col("pred") == positive
+    count = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
+    sums = rows.join(w, id).groupBy("rep", *keys).agg(count(t & p).alias("tp"), count(~t & p).alias("fp"), count(t & ~p).alias("fn"))
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 9)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return sums.select("rep", *keys, share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def pooled_scores(rows: DataFrame, key: str, id: str, replicates: int, seed: int) -> DataFrame:
     """The scores that replicate_scores gives with weights, for many replicates: ids whose rows (key, truth, pred) are
     all equal count as one, so a draw becomes one of few profiles before anything is joined with rows."""

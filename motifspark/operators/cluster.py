@@ -82,6 +82,14 @@ def name_clusters(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("source") == TRAIN_SOURCE) & (F.col("cluster_id") >= 0)).groupBy("cluster_id").agg(F.mode("template", True).alias("template"))
 
 
+def restrict_to_named(representatives: DataFrame, names: DataFrame) -> DataFrame:
+    """The representatives (cluster_id, ...) of named clusters; raises if no cluster has a name."""
+    kept = representatives.join(names.select("cluster_id"), "cluster_id", "left_semi")
+    if kept.isEmpty():
+        raise ValueError("no cluster has a labelled member")
+    return kept
+
+
 def closed_predictions(assigned: DataFrame, names: DataFrame) -> DataFrame:
     """pred_template of rows assigned among named clusters."""
     return assigned.join(names.withColumnRenamed("template", "pred_template"), "cluster_id", "left").withColumn("pred_template", F.coalesce("pred_template", F.lit(UNKNOWN_CLUSTER)))

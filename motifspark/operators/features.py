@@ -66,3 +66,78 @@ def gray_grids(images: DataFrame, pixels: int) -> DataFrame:
 
     parts = images.select("path", "image.height", "image.width", "image.nChannels", "image.data")
     return parts.mapInArrow(run, "path string, v array<double>")
+
+
+def hue_saturation_value(rgb: np.ndarray) -> np.ndarray:
+    """Bytes of hue, saturation and value of RGB bytes (..., 3), each over the whole byte range, rounded down."""
+    c = rgb.astype(np.float32)
+    high, low = c.max(-1), c.min(-1)
+    span = high - low
+    some = np.where(span > 0, span, 1).astype(np.float32)
+    r, g, b = ((high - c[..., i]) / some for i in range(3))
+    turn = np.where(c[..., 0] == high, b - g, np.where(c[..., 1] == high, 2 + r - b, 4 + g - r))
+    hue = np.where(span > 0, np.mod(turn / 6 + 1, 1), 0)
+    saturation = np.where(span > 0, span / np.where(high > 0, high, 1), 0)
+    return np.stack([(hue * 255).astype(np.uint8), (saturation * 255).astype(np.uint8), high.astype(np.uint8)], -1)
+
+
+def texture_codes(gray: np.ndarray, points: int, radius: float) -> np.ndarray:
+    """Uniform local binary patterns of a gray image: how many of ``points`` neighbours on a circle are at least as bright, or
+    points + 1 where they change sides more than twice. Neighbours are interpolated; outside the image they are 0."""
+    height, width = gray.shape
+    pad = int(np.ceil(radius)) + 1
+    wide = np.pad(gray.astype(np.float64), pad)
+    over = np.empty((points, height, width), bool)
+    for k in range(points):
+        y, x = (round(v, 5) for v in (-radius * np.sin(2 * np.pi * k / points), radius * np.cos(2 * np.pi * k / points)))
+        top, left = int(np.floor(y)), int(np.floor(x))
+        fy, fx = y - top, x - left
+        at = lambda i, j: wide[pad + top + i : pad + top + i + height, pad + left + j : pad + left + j + width]
+        seen = (1 - fy) * ((1 - fx) * at(0, 0) + fx * at(0, 1)) + fy * ((1 - fx) * at(1, 0) + fx * at(1, 1))
+        over[k] = seen - gray >= -1e-9
+    changes = (over != np.roll(over, 1, 0)).sum(0) - (over[0] != over[-1])  # from first to last, not round the circle
+    return np.where(changes <= 2, over.sum(0), points + 1)
+
+
+def pixel_histograms(images: DataFrame, points: int = 24, radius: float = 8) -> DataFrame:
+    """(path, v) of rows of Spark's image source (path, image): counts of hue, saturation, value and gray over 256 bins each,
+    then the shares of the points + 2 texture codes and zeros up to points + 4. One image is in memory at a time."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for height, width, channels, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "nChannels", "data"))):
+                raw = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                rgb = np.repeat(raw, 3, 2) if channels == 1 else raw[:, :, 2::-1]  # the source stores blue first
+                gray = np.round(rgb.astype(np.float64) @ np.array(GRAY[::-1])).astype(np.uint8)
+                parts = [*np.moveaxis(hue_saturation_value(rgb), -1, 0), gray]
+                counts = [np.bincount(p.reshape(-1), minlength=256).astype(np.float64) for p in parts]
+                texture = np.bincount(texture_codes(gray, points, radius).reshape(-1), minlength=points + 4)
+                out.append(np.concatenate([*counts, texture / max(1, height * width)]))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([x.tolist() for x in out], pa.list_(pa.float64()))], ["path", "v"])
+
+    parts = images.select("path", "image.height", "image.width", "image.nChannels", "image.data")
+    return parts.mapInArrow(run, "path string, v array<double>")
+
+
+def embedded(rows: DataFrame, models: dict, batch: int = 64) -> DataFrame:
+    """(id, one array<double> column for each model) of rows (id, content): every content is handed to all models in one pass.
+
+    models: name and a callable that takes a list of contents and returns a list of vectors, None for what it can't read;
+    rows that any model can't read are left out, null contents too. A callable is loaded once in a worker.
+    """
+    names = list(models)
+
+    def run(batches):
+        for b in batches:
+            ids, contents = b.column("id").to_pylist(), b.column("content").to_pylist()
+            there = [i for i, c in enumerate(contents) if c is not None]
+            for k in range(0, len(there), batch):
+                some = there[k : k + batch]
+                vectors = [models[n]([contents[i] for i in some]) for n in names]
+                read = [j for j in range(len(some)) if all(v[j] is not None for v in vectors)]
+                columns = [pa.array([[float(x) for x in v[j]] for j in read], pa.list_(pa.float64())) for v in vectors]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[some[j]] for j in read], b.schema.field("id").type), *columns], ["id", *names])
+
+    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"`{n}` array<double>" for n in names)])
+    return rows.select("id", "content").mapInArrow(run, schema)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import TRAIN_SOURCE
+
 
 def seeded(seed: int, *keys: str) -> Column:
     """A hash order that SQL can restate: the MD5 text of seed and keys."""
@@ -112,3 +114,23 @@ def replace_prefix_all(c: Column, old: str, new: str) -> Column:
 def replace_prefix_first(c: Column, old: str, new: str) -> Column:
     at = F.locate(old, c)
     return F.when(at == 0, c).otherwise(F.concat(F.substring(c, F.lit(1), at - 1), F.lit(new), F.substring(c, at + len(old), F.length(c))))
+
+
+def discovery(train: DataFrame, extra: DataFrame | None = None, unlabelled: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """All rows that clusters are made from: training rows, those of one more class counted as such, and rows without a label."""
+    out = train
+    for more in (None if extra is None else retagged(extra), unlabelled, corpus):
+        if more is not None:
+            out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def retagged(rows: DataFrame, source: str = TRAIN_SOURCE) -> DataFrame:
+    """rows under another source, so that they vote as that source's do."""
+    return rows.withColumn("source", F.lit(source))
+
+
+def aligned(rows: DataFrame, kept: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows whose key is among ``kept`` (key), one for each; of rows with one key the last in ``order`` counts."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("__s")).select(key, "__s.*")
+    return last.join(kept.select(key).distinct(), key, "left_semi")

@@ -671,3 +671,6 @@ def sparse_matches(spark, d):
 def streamed_rates(spark, d):
     out = rates.drain(spark, d, "ts", "event_type", "value", files="events.parquet")
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).withColumn("total", F.round("total", 3))
+
+
+from . import composed  # noqa: E402, F401  registers its queries
