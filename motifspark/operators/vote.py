@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import OUTLIER
+from .hashjoin import band_masks
 
 
 def votes(edges: DataFrame, keys: list[str], weights: str = "uniform", zero_rule: bool = True, least_distance: float = 1e-6) -> DataFrame:
@@ -62,24 +63,26 @@ def zero_rejection(results: DataFrame) -> DataFrame:
     return full.orderBy("radius", F.col("f1").desc(), "grid").limit(1)
 
 
-def shared_keypoints(queries: DataFrame, refs: DataFrame, most: int = 27, bands: int = 32) -> DataFrame:
+def shared_keypoints(queries: DataFrame, refs: DataFrame, most: int = 27) -> DataFrame:
     """(query, ref, n): how many of a query's descriptors have a descriptor of the reference within ``most`` bits.
 
-    Rows: (image, kp, d) with d an array of four longs. By pigeonhole over more bands than ``most`` some band of two
-    such descriptors is equal, so the band join finds every pair; descriptors are then compared in full.
+    Rows: (image, kp, d) with d an array of four longs. Of 16 bands of 16 bits, some band of two such descriptors differs in
+    at most most // 16 bits, so probes with that many errors find every pair; descriptors are then compared in full.
+    Distinct descriptors are compared once, however many images share one. Null descriptors match nothing.
     """
-    width = 256 // bands
-    if most >= bands:
-        raise ValueError("more bands than bits of distance are needed")
-
-    def keyed(rows: DataFrame, image: str) -> DataFrame:
-        per = 64 // width
-        band = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.element_at("d", i // per + 1), width * (i % per)).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(bands)]
-        return rows.select(F.col("image").alias(image), F.col("kp").alias(f"{image}_kp"), F.col("d").alias(f"{image}_d"), F.explode(F.array(*band)).alias("s")).select("*", "s.*").drop("s")
-
-    met = keyed(queries, "query").join(keyed(refs, "ref"), ["b", "v"])
-    apart = sum((F.bit_count(F.element_at("query_d", i).bitwiseXOR(F.element_at("ref_d", i))) for i in range(2, 5)), F.bit_count(F.element_at("query_d", 1).bitwiseXOR(F.element_at("ref_d", 1))))
-    return met.filter(apart <= most).select("query", "ref", "query_kp").distinct().groupBy("query", "ref").agg(F.count("*").alias("n"))
+
+    def bands(rows: DataFrame, name: str, masks: list[int]) -> DataFrame:
+        own = rows.filter("d is not null").select(F.col("d").alias(name)).distinct()
+        part = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.element_at(name, i // 4 + 1), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)).alias("x")) for i in range(16)]
+        at = own.select(name, F.inline(F.array(*part)))
+        return at.select(name, "b", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("x").bitwiseXOR(m))).alias("v"))
+
+    met = bands(queries, "p", band_masks(most // 16)).join(bands(refs, "q", [0]), ["b", "v"])
+    apart = sum((F.bit_count(F.element_at("p", i).bitwiseXOR(F.element_at("q", i))) for i in range(2, 5)), F.bit_count(F.element_at("p", 1).bitwiseXOR(F.element_at("q", 1))))
+    near = met.filter(apart <= most).select("p", "q").distinct()
+    asked = queries.select(F.col("image").alias("query"), "kp", F.col("d").alias("p"))
+    held = refs.select(F.col("image").alias("ref"), F.col("d").alias("q")).distinct()
+    return asked.join(near, "p").join(held, "q").select("query", "ref", "kp").distinct().groupBy("query", "ref").agg(F.count("*").alias("n"))
 
 
 def graded_distance(matches: Column, keypoints: Column, least: int) -> Column:

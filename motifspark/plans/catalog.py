@@ -121,8 +121,7 @@ def label_keys(spark, d):
     return read(spark, d, "part").select("p_partkey", L.normal_key(n).alias("key"), L.slug(n).alias("slug"), L.lenient_key(n).alias("lenient"))
 
 
-_FREE = "('templateless', 'template_less', 'template_free', 'templatefree', 'no_template', 'non_templated', 'not_templated', 'untemplated')"
-_NON = "('non_meme', 'nonmeme', 'not_meme', 'not_a_meme', 'no_meme')"
+_FREE, _NON = (str(tuple(keys)) for keys in (L.TEMPLATE_FREE_KEYS, L.NON_MEME_KEYS))
 _SPELT = """lab AS (SELECT sample_id, CASE sample_id % 6 WHEN 0 THEN ' Not a MEME' WHEN 1 THEN 'template-free' WHEN 2 THEN upper(pred) WHEN 3 THEN concat(' ', pred, ' ') WHEN 4 THEN 'none' ELSE NULL END AS label FROM preds WHERE method = 'm0')"""
 
 

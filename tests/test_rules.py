@@ -115,3 +115,32 @@ def test_numbered(spark):
     values = spark.range(5000).select((F.col("id") * 7919 % 10007).alias("v")).unionByName(spark.createDataFrame([(None,), (3,), (3,)], "v long"))
     got = [tuple(r) for r in graph.numbered(values, "v", "n").orderBy("n").collect()]
     assert got == [(v, i) for i, v in enumerate(sorted({i * 7919 % 10007 for i in range(5000)} | {3}))]
+
+
+def test_shared_keypoints_against_all_pairs(spark):
+    import random
+
+    from motifspark.operators.vote import shared_keypoints
+
+    dice = random.Random(3)
+    word = lambda: [dice.randrange(-(1 << 63), 1 << 63) for _ in range(4)]
+    def flip(x, i):
+        y = (x & ((1 << 64) - 1)) ^ (1 << i)
+        return y - (1 << 64) if y >> 63 else y
+
+    base = [word() for _ in range(6)]
+
+    def near(d):
+        d = list(d)
+        for bit in dice.sample(range(256), dice.choice([0, 20, 26, 27, 28, 29])):
+            d[bit // 64] = flip(d[bit // 64], bit % 64)
+        return d
+
+    q = [(i % 10, i, near(dice.choice(base))) for i in range(60)] + [(99, 0, None)]
+    r = [(i % 8, i, near(dice.choice(base))) for i in range(60)] + [(99, 0, None)]
+    apart = lambda a, b: sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(a, b))
+    hits = {(a, b, k) for a, k, d in q for b, _, e in r if d and e and apart(d, e) <= 27}
+    wanted = sorted((a, b, sum(1 for h in hits if h[:2] == (a, b))) for a, b in {h[:2] for h in hits})
+    shape = "image int, kp int, d array<long>"
+    got = shared_keypoints(spark.createDataFrame(q, shape), spark.createDataFrame(r, shape))
+    assert sorted(tuple(x) for x in got.collect()) == wanted and wanted
