@@ -11,6 +11,7 @@ from ..functions.vectors import hamming
 from ..schema import OUTLIER, TEMPLATE_FREE
 from ..tables import settle
 from . import cluster, densejoin, hashjoin, metrics, raters, rows, vote
+from .hdbscan import hdbscan
 
 
 def canonical_split(items: DataFrame, key: str, exclude: tuple = ("meme_submissions",), least: int = 7, fraction: float = 0.8, seed: int = 40) -> DataFrame:
@@ -86,10 +87,12 @@ def seed_batch(runs: DataFrame, names: list[str] = ["f1", "mcc", "cohen_kappa"])
     return each, metrics.seed_summary(each, ["method"], names)
 
 
-def clusterer(method: str, rows_: DataFrame, k: int = 2, seed: int = 40, radius: int = 8, min_samples: int = 5) -> DataFrame:
-    """(id, cluster_id) by name: kmeans of vectors (id, v), or dbscan of hashes (id, h)."""
+def clusterer(method: str, rows_: DataFrame, k: int = 2, seed: int = 40, radius: int = 8, min_samples: int | None = None, min_cluster_size: int = 10) -> DataFrame:
+    """(id, cluster_id) by name: kmeans or hdbscan of vectors (id, v), or dbscan of hashes (id, h; min_samples 5 if not given)."""
     if method == "kmeans":
         return cluster.kmeans(rows_, k, seed)[0]
     if method == "dbscan":
-        return cluster.hash_dbscan(rows_, radius, min_samples).select("id", "cluster_id")
+        return cluster.hash_dbscan(rows_, radius, min_samples or 5).select("id", "cluster_id")
+    if method == "hdbscan":
+        return hdbscan(rows_, min_cluster_size, min_samples)
     raise ValueError(f"no clusterer {method}")

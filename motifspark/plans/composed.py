@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.vectors import bit_signs, unit
 from ..operators import bootstrap, densejoin, hashjoin, rows, runs
 from ..schema import TEMPLATED
 from ..sources import annotations as A
@@ -200,3 +201,19 @@ def vector_cluster_run(spark, d):
     found = p.filter("source <> 'imgflip_test'")
     start = runs.clusterer("kmeans", found.select("id", "v"), k=p.select("template").distinct().count())
     return runs.vector_clusters(found, p.filter("source = 'imgflip_test'").select("id", "v"), start)["predictions"]
+
+
+@query()
+def density_vector_run(spark, d):
+    """Density clusters of fused vectors, named, and test rows assigned to the nearest centroid."""
+    p = S.planted(spark, d).withColumn("image_path", F.concat(F.lit("p/"), "id"))
+    found = p.filter("source <> 'imgflip_test'")
+    start = runs.clusterer("hdbscan", found.select("id", "v"), min_samples=5)
+    return runs.vector_clusters(found, p.filter("source = 'imgflip_test'").select("id", "v"), start, steps=0)["predictions"]
+
+
+@query()
+def density_hash_clusters(spark, d):
+    """Density clusters of hashes as unit vectors of plus and minus one."""
+    rows_ = S.hashes(spark, d).select("id", unit(bit_signs(F.col("h"))).alias("v"))
+    return runs.clusterer("hdbscan", rows_, min_samples=5)
