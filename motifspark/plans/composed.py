@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.vectors import bit_signs, unit
+from ..functions.vectors import bit_signs
 from ..operators import bootstrap, densejoin, hashjoin, rows, runs
 from ..schema import TEMPLATED
 from ..sources import annotations as A
@@ -215,5 +215,5 @@ def density_vector_run(spark, d):
 @query()
 def density_hash_clusters(spark, d):
     """Density clusters of hashes as unit vectors of plus and minus one."""
-    rows_ = S.hashes(spark, d).select("id", unit(bit_signs(F.col("h"))).alias("v"))
+    rows_ = S.hashes(spark, d).select("id", bit_signs(F.col("h")).alias("v"))
     return runs.clusterer("hdbscan", rows_, min_samples=5)
