@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.vectors import bit_signs
 from ..operators import bootstrap, densejoin, hashjoin, rows, runs
 from ..schema import TEMPLATED
 from ..sources import annotations as A
@@ -210,10 +209,3 @@ def density_vector_run(spark, d):
     found = p.filter("source <> 'imgflip_test'")
     start = runs.clusterer("hdbscan", found.select("id", "v"), min_samples=5)
     return runs.vector_clusters(found, p.filter("source = 'imgflip_test'").select("id", "v"), start, steps=0)["predictions"]
-
-
-@query()
-def density_hash_clusters(spark, d):
-    """Density clusters of hashes as unit vectors of plus and minus one."""
-    rows_ = S.hashes(spark, d).select("id", bit_signs(F.col("h")).alias("v"))
-    return runs.clusterer("hdbscan", rows_, min_samples=5)
