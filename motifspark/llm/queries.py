@@ -1,11 +1,11 @@
-"""The ten operators applied to their whole tables with production parameters, and SQL where SQL can say it."""
+"""The operators applied to their whole tables with production parameters, and SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, packing, pieces, pivots, quality, sharding, suffix_dedup, toxicity, vptree
+from . import chat, decontaminate, lexical, minhash, packing, pieces, pivots, quality, sharding, spelling, suffix_dedup, toxicity, vptree
 from .common import read
 
 #: Bytes that a shard of op1 may hold.
@@ -120,5 +120,80 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_suffix_dedup, op4_packing, op5_vantage_point_search, op6_sentencepiece, op7_quality_classifier, op8_toxicity, op9_pivot_top_k, op10_minhash_near_dedup)}
-SQL = {"op1_sharding": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_vantage_point_search": OP5_SQL, "op9_pivot_top_k": OP9_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+f AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY r),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+i AS (
+  SELECT q, item_id, term, count(*) AS times FROM (
+    SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS q, * FROM benchmark)) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+s AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN d USING (r), c GROUP BY q, item_id, r, doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+#: The checksum is worked out bit by bit: four hex digits are two bytes, each with eight steps.
+OP12_SQL = """
+WITH RECURSIVE o AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS x FROM o WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST(concat('0x', substr(x, i, 2)) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, e: xor(v >> 1, 3988292384 * (v & 1))))) AS h FROM g),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+c AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM c a JOIN w b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM c a JOIN w b ON a.cut = b.word),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, min(p.near) AS form, min(p.near_n) AS form_n
+  FROM w LEFT JOIN b ON w.word = b.word LEFT JOIN p ON p.word = w.word AND p.near_n = b.top AND b.top >= 10 * w.n GROUP BY ALL),
+r AS (
+  SELECT word, word AS now, 0 AS step FROM f
+  UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.now WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(now, step) AS root FROM r GROUP BY word) e ON e.word = f.word"""
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+v AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + 9], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+a AS (
+  SELECT r, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win
+  FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM v) WHERE len(ws) >= k)),
+m AS (SELECT a.r, a.i, a.k, v.item FROM a JOIN v ON a.k = v.k AND a.win = v.win),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM m) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, coalesce(item, '') AS item FROM m) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+  sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN n ON n.r = d.r"""
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_suffix_dedup, op4_packing, op5_vantage_point_search, op6_sentencepiece, op7_quality_classifier, op8_toxicity, op9_pivot_top_k, op10_minhash_near_dedup, op11_lexical_search, op12_spelling_variants, op13_decontamination)}
+SQL = {"op1_sharding": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_vantage_point_search": OP5_SQL, "op9_pivot_top_k": OP9_SQL, "op11_lexical_search": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_decontamination": OP13_SQL}
