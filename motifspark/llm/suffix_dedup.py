@@ -17,8 +17,11 @@ windows that share an anchor travel as one suffix ("context"). Steps:
 5. repeated windows go back to their texts as byte ranges, by joins on the context (one row for each, with all
    its ranges) and on the row.
 
-A gram with very many distinct contexts is split: each of its windows becomes a suffix of its own, ranged
-by the hash of its 200 bytes, so one common line never gathers in one task.
+A gram with very many distinct contexts is no group of suffixes: its windows become rows with a 128-bit digest of their 200
+bytes, which partial aggregation counts; those that occur again meet their digest in a join that a hot digest can
+split, so one common line never gathers in one task.
+
+A gram's most frequent context, if it occurs again, skips the join on contexts; its places still meet the others of their row.
 """
 
 from __future__ import annotations
@@ -186,16 +189,8 @@ def _runs(window: int, ranges: int):
                 base, before = int(off[k]), rid
                 for c in contexts:
                     s, n, at = base + c["pos"], c["n"], c["at"]
-                    if c["heavy"]:
-                        for j in range(n):
-                            one = raw[s + j : s + j + window]
-                            own = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                            # at and n name the window within its context; the suffix is the window itself
-                            held.setdefault(own % ranges, []).append((one, b"", c["g"], c["t"], j, 0))
-                        size += n * window
-                    else:
-                        held.setdefault(c["g"] % ranges, []).append((raw[s + at : s + n - 1 + window], raw[s : s + at], c["g"], c["t"], at, n))
-                        size += n + window
+                    held.setdefault(c["g"] % ranges, []).append((raw[s + at : s + n - 1 + window], raw[s : s + at], c["g"], c["t"], at, n))
+                    size += n + window
                 if size > 24 << 20:
                     yield flush(held)
                     held, size = {}, 0
@@ -205,6 +200,33 @@ def _runs(window: int, ranges: int):
     return run
 
 
+def _digests(window: int):
+    """(g, t, at, d): every window of the contexts, by its place in the context, with the digest of its bytes."""
+
+    kinds = {"g": pa.int64(), "t": pa.int64(), "at": pa.int32(), "d": pa.binary()}
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), kinds.values())], list(kinds))
+
+        for b in rows_of(batches):
+            data, off = text_buffers(b.column("text"))
+            raw = data.tobytes()
+            for k, contexts in enumerate(b.column("contexts").to_pylist()):
+                for c in contexts:
+                    s = int(off[k]) + c["pos"]
+                    held += ((c["g"], c["t"], j, hashlib.blake2b(raw[s + j : s + j + window], digest_size=16).digest()) for j in range(c["n"]))
+                if len(held) > 50_000:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    return run
+
+
 def repeated_windows(records: list[tuple], window: int):
     """(g, t, first, last) of the windows that several of the contexts share.
 
@@ -243,28 +265,18 @@ def _merged(window: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
         group: list[list] = []
-        single: list[tuple] = []
 
         def close():
             if len(group) > 1:
                 out.extend(repeated_windows([tuple(x) for x in group], window))
-            if len(single) > 1:
-                out.extend((g, t, j, j) for g, t, j in single)
 
         for shared, (_, suffix, left, g, t, at, n) in merge_runs([decode_run(r.as_py()) for r in table.column("run")]):
             if shared < gram:
                 close()
-                group, single = [], []
-            if n == 0:
-                if shared < window and single:
-                    if len(single) > 1:
-                        out.extend((a, b, j, j) for a, b, j in single)
-                    single = []
-                single.append((g, t, at))
-            else:
-                if group:
-                    group[-1][0] = max(group[-1][0], shared)
-                group.append([shared if group else 0, suffix, left, g, t, at, n])
+                group = []
+            if group:
+                group[-1][0] = max(group[-1][0], shared)
+            group.append([shared if group else 0, suffix, left, g, t, at, n])
         close()
         cols = list(zip(*out)) if out else [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -286,11 +298,19 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, he
     contexts = stage(mixed.groupBy("g", "t").agg(F.count("*").alias("c"), F.min(F.struct("rid", "pos", "n", "at")).alias("one")), f"{name}-contexts")
     several = stage(contexts.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), f"{name}-several")
     sent = stage(contexts.join(several, "g").select("g", "t", "one.*", (F.col("m") > heavy).alias("heavy")), f"{name}-sent")
-    total = sent.agg(F.sum(F.when(F.col("heavy"), F.col("n")).otherwise(1))).first()[0] or 0
+    total, hot = sent.agg(F.count_if(~F.col("heavy")), F.count_if("heavy")).first()
     ranges = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE)
-    each = sent.groupBy("rid").agg(F.collect_list(F.struct("g", "t", "pos", "n", "at", "heavy")).alias("contexts"))
-    runs = texts.join(each, "rid").select("rid", "text", "contexts").mapInArrow(_runs(window, ranges), "p int, run binary")
+
+    def placed(part: DataFrame) -> DataFrame:
+        each = part.groupBy("rid").agg(F.collect_list(F.struct("g", "t", "pos", "n", "at")).alias("contexts"))
+        return texts.join(each, "rid").select("rid", "text", "contexts")
+
+    runs = placed(sent.filter("not heavy")).mapInArrow(_runs(window, ranges), "p int, run binary")
     windows = runs.groupBy("p").applyInArrow(_merged(window, gram), "g long, t long, first int, last int")
+    if hot:
+        digests = stage(placed(sent.filter("heavy")).mapInArrow(_digests(window), "g long, t long, at int, d binary"), f"{name}-digests")
+        again = stage(digests.groupBy("d").agg(F.count("*").alias("c")).filter("c > 1").select("d"), f"{name}-again")
+        windows = windows.unionByName(digests.join(again, "d").select("g", "t", F.col("at").alias("first"), F.col("at").alias("last")))
     whole = contexts.filter("c > 1").select("g", "t", F.lit(0).alias("first"), (F.col("one.n") - 1).cast("int").alias("last"), F.lit(True).alias("whole"))
     # one row for each context, so that every place of a context meets one; what occurs again as a whole needs no parts
     span = F.struct("first", "last")
