@@ -124,12 +124,17 @@ def _measured(batches):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, sample: int, salt: int = 1) -> DataFrame:
-    """(text, label, doc_id) of at most ``sample`` labelled rows with crc32(doc_id) mod 5 not 0, by hash order."""
+    """(text, label, doc_id) of at most ``sample`` labelled rows with crc32(doc_id) mod 5 not 0, by hash order.
+
+    Where rows of ``docs`` share a doc_id, the text of least hash stands for it.
+    """
     learnt = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chosen = learnt.select("doc_id", F.col(column).cast("int").alias("label")).join(own.select("doc_id"), "doc_id", "left_semi")
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample)
-    return own.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    ids = F.broadcast(chosen.select("doc_id").distinct())  # at most ``sample`` numbers
+    one = own.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s"))
+    return chosen.join(one, "doc_id").select("doc_id", F.col("s.text").alias("text"), "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48, neighbours: int = 15) -> Voters:

@@ -104,6 +104,25 @@ def test_chat(spark):
     assert chat.digest(chat.expand(turns.limit(0))).count() == 0
 
 
+def test_suffix_dedup_of_a_hot_passage(spark):
+    """One passage in unlike surroundings: more contexts for its grams than one task takes."""
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = some(70)
+    own = [some(rnd.randint(0, 60)) + passage + some(rnd.randint(0, 60)) for _ in range(300)]
+    got = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(6), window=30, gram=12, heavy=40).toPandas()
+    want = {i: x for i, x in enumerate(brute.suffix_dedup(own, 30))}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()} == want
+
+
+def test_a_repeated_id_is_one_labelled_text(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in (1, 2, 3, 4) for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1), (4, 0)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, "quality", 3).collect()
+    assert len(rows) == len({(r.doc_id, r.label) for r in rows}) == 3
+    assert set(rows) == set(quality.training_rows(docs.repartition(7), labels, "quality", 3).collect())
+
+
 @pytest.mark.parametrize("window, gram, heavy", [(200, 40, 5000), (30, 12, 5000), (30, 12, 1)])
 def test_suffix_dedup(docs, rows, window, gram, heavy):
     got = suffix_dedup.dedup(docs, window=window, gram=gram, heavy=heavy).toPandas()

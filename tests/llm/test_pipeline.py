@@ -16,7 +16,7 @@ from motifspark.llm import quality, toxicity  # noqa: E402
 from motifspark.llm.queries import tokenizer  # noqa: E402
 
 DATA = "/root/testdata/sf0.01"
-CLASHING = {"score": "0.25", "severity": "7", "rejected": "'own'", "n_bytes": "3", "n_spans": "'x'", "predicted": "9"}
+CLASHING = {"Score": "0.25", "SEVERITY": "7", "Rejected": "'own'", "N_Bytes": "3", "n_spans": "'x'", "predicted": "9"}
 
 
 @pytest.fixture(scope="module")
