@@ -18,8 +18,8 @@ from motifspark.llm.queries import tokenizer
 
 
 def _aside(docs: DataFrame, new: list[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """f(docs) with the columns of docs alone; those named like columns that f adds are set aside meanwhile."""
-    names = {c: f"__own_{c}" for c in docs.columns if c in new}
+    """f(docs) with the columns of docs alone; those named, in any case, like columns that f adds are set aside meanwhile."""
+    names = {c: f"__own_{c}" for c in docs.columns if c.lower() in new}
     return f(docs.withColumnsRenamed(names)).select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
