@@ -1,14 +1,11 @@
-"""Fitted models over vectors: scaling, centred PCA, weighted logistic regression, sparse-representation matching."""
+"""Fitted models over vectors: scaling, centred PCA, weighted logistic regression, sparse codes."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .densejoin import _matrix
-
 
 def position_moments(rows: DataFrame) -> DataFrame:
     """One row (mean, std): arrays of each position's mean and population deviation over vectors ``v``; as long as a vector."""
@@ -77,27 +74,3 @@ def lasso(atoms: np.ndarray, targets: np.ndarray, alpha: float, sweeps: int, tol
         if moved < tolerance:
             break
     return x
-
-
-def sparse_match(queries: DataFrame, references: DataFrame, alpha: float = 0.35, sweeps: int = 1000, block: int = 1024) -> DataFrame:
-    """(id, label, residual): the class whose part of each query's (id, v) sparse code over ``references`` (id, label, v) leaves
-    the smallest residual, ties to the first label.
-
-    A code needs the whole dictionary, which every block of queries gets by a shuffle and one task holds once.
-    """
-    n = max(1, -(-queries.count() // block))
-    q = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-    r = references.select(F.col("id").alias("ref"), "label", F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("c"))
-
-    def match(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64())], names=["id", "label", "residual"])
-        y = y.sort_by([("label", "ascending"), ("ref", "ascending")])
-        names, own = np.unique(np.array(y.column("label").to_pylist()), return_inverse=True)
-        targets, atoms = _matrix(x, "v"), _matrix(y, "w")
-        code = lasso(atoms, targets, alpha, sweeps)
-        left = np.stack([np.linalg.norm(targets - code[:, own == k] @ atoms[own == k], axis=1) for k in range(len(names))], 1)
-        best = left.argmin(1)
-        return pa.table([pa.array(x.column("id").to_numpy()), pa.array(names[best].tolist(), pa.string()), pa.array(left.min(1))], names=["id", "label", "residual"])
-
-    return q.groupBy("b").cogroup(r.groupBy("c")).applyInArrow(match, "id long, label string, residual double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import hamming
 from ..schema import OUTLIER, TEMPLATE_FREE
 from ..tables import settle
-from . import cluster, densejoin, hashjoin, metrics, raters, rows, vote
+from . import cluster, densejoin, hashjoin, metrics, models, raters, rows, sparse, vote
 from .hdbscan import hdbscan
 
 
@@ -96,3 +96,18 @@ def clusterer(method: str, rows_: DataFrame, k: int = 2, seed: int = 40, radius:
     if method == "hdbscan":
         return hdbscan(rows_, min_cluster_size, min_samples)
     raise ValueError(f"no clusterer {method}")
+
+
+def sparse_matching(train: DataFrame, test: DataFrame, order: str = "id", per_class: int = 30, cap: int | None = None, alpha: float = 0.35) -> dict[str, DataFrame]:
+    """Sparse-representation matching of test vectors with the first ``per_class`` training vectors of each template.
+
+    train, test: (id, template, v). Vectors are scaled position by position as the chosen references vary; ``cap`` bounds the
+    test rows, dealt over templates. Returns predictions (id, template, pred, residual) and their scores.
+    """
+    refs = settle(rows.first_per_template(train, per_class, order).select("id", "template", "v"), "sparse-references")
+    asked = (test if cap is None else rows.budgeted(test, cap, order)).select("id", "template", "v")
+    moments = settle(models.position_moments(refs), "sparse-moments")
+    scaled = lambda df: models.standardise(df, moments)
+    found = sparse.sparse_match(scaled(asked).select("id", "v"), scaled(refs).select("id", F.col("template").alias("label"), "v"), alpha)
+    predictions = settle(asked.select("id", "template").join(found.select("id", F.col("label").alias("pred"), "residual"), "id"), "sparse-predictions")
+    return {"predictions": predictions, "scores": metrics.scores(predictions.withColumn("method", F.lit("sparse")), ["method"], "template")}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..operators import bootstrap, cluster, densejoin, features, gate, hashjoin, metrics, models, raters, replies, rows, vote
+from ..operators import bootstrap, cluster, densejoin, features, gate, hashjoin, metrics, models, raters, replies, rows, sparse, vote
 from ..schema import OUTLIER, TEMPLATE_FREE, TEMPLATED
 from ..streaming import rates
 from ..tables import read
@@ -663,7 +663,7 @@ def sparse_matches(spark, d):
     """Dictionary: the first 30 training vectors of each template."""
     p = S.planted(spark, d)
     refs = rows.first_per_template(p.filter("source = 'imgflip_train'"), 30, "id").select("id", F.col("template").alias("label"), "v")
-    return models.sparse_match(p.filter("source = 'imgflip_test'"), refs, alpha=0.001)
+    return sparse.sparse_match(p.filter("source = 'imgflip_test'"), refs, alpha=0.001)
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")

@@ -209,3 +209,11 @@ def density_vector_run(spark, d):
     found = p.filter("source <> 'imgflip_test'")
     start = runs.clusterer("hdbscan", found.select("id", "v"), min_samples=5)
     return runs.vector_clusters(found, p.filter("source = 'imgflip_test'").select("id", "v"), start, steps=0)["predictions"]
+
+
+@query()
+def sparse_matching_run(spark, d):
+    """Sparse-representation matching as one call; test rows are all in, and the first 30 training rows of each template."""
+    p = S.planted(spark, d).select("id", "template", "source", "v")
+    found = runs.sparse_matching(p.filter("source = 'imgflip_train'"), p.filter("source = 'imgflip_test'"))
+    return found["predictions"].withColumn("residual", F.round("residual", 6))

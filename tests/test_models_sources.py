@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from motifspark.operators import features, models
+from motifspark.operators import features, models, sparse
 from motifspark.sources import files
 from motifspark.streaming import rates
 
@@ -49,11 +49,11 @@ def test_sparse_match_and_logistic(spark):
     labels = [f"t{i % 3}" for i in range(60)]
     x = np.eye(3)[[i % 3 for i in range(60)]] + r.normal(size=(60, 3)) * 0.05
     t = vectors(spark, x, labels)
-    got = {m.id: m.label for m in models.sparse_match(t.filter("id >= 30"), t.filter("id < 30"), alpha=0.01, block=8).collect()}
+    got = {m.id: m.label for m in sparse.sparse_match(t.filter("id >= 30"), t.filter("id < 30"), alpha=0.01, block=8).collect()}
     assert got == {i: labels[i] for i in range(30, 60)}
     out = models.logistic(t.filter("id < 30"), t.filter("id >= 30")).collect()
     assert len(out) == 30 and all(o.pred == o.label and 1 / 3 < o.confidence <= 1 for o in out)
-    assert models.sparse_match(t.filter("id < 0"), t).count() == 0
+    assert sparse.sparse_match(t.filter("id < 0"), t).count() == 0
 
 
 def test_images(spark, tmp_path):
