@@ -15,9 +15,14 @@ EMPTY_KEYS = ["", "none", "null", "nan"]
 NOT_AVAILABLE = ["na", "n/a", "none", "nan", "null"]
 
 
+def trimmed(c: Column) -> Column:
+    """Text without white space of any kind at its ends: blanks, tabs, line ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def normal_key(c: Column, joint: str = "_") -> Column:
     """Trimmed, lower case, runs of other than a-z and 0-9 made one ``joint``, none at the ends; null: empty."""
-    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    low = F.lower(trimmed(F.coalesce(c, F.lit(""))))
     return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", joint), f"^{joint}+|{joint}+$", "")
 
 
@@ -41,8 +46,8 @@ def canonical_label(labels: DataFrame, column: str, vocabulary: DataFrame | None
         out = out.join(names, "__key", "left")
     else:
         out = out.withColumn("__name", F.lit(None).cast("string"))
-    trimmed = F.trim(F.coalesce(F.col(column), F.lit("")))
-    value = F.when(F.col("__key").isin(NON_MEME_KEYS), NON_MEME).when(F.col("__key").isin(TEMPLATE_FREE_KEYS), TEMPLATE_FREE).otherwise(F.coalesce("__name", trimmed))
+    text = trimmed(F.coalesce(F.col(column), F.lit("")))
+    value = F.when(F.col("__key").isin(NON_MEME_KEYS), NON_MEME).when(F.col("__key").isin(TEMPLATE_FREE_KEYS), TEMPLATE_FREE).otherwise(F.coalesce("__name", text))
     return out.withColumn("canonical", value).drop("__key", "__name")
 
 
@@ -62,7 +67,7 @@ def map_rejects(c: Column, to: str = TEMPLATE_FREE) -> Column:
 
 def clean(c: Column) -> Column:
     """Trimmed text; null where empty or a word for not available."""
-    t = F.trim(c)
+    t = trimmed(c)
     return F.when(F.lower(t).isin(NOT_AVAILABLE) | (t == ""), None).otherwise(t)
 
 

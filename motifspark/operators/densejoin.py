@@ -13,6 +13,11 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
 
 
+def sound(v: str):
+    """Whether a vector is there and all its components are finite numbers."""
+    return F.coalesce(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
 def _blocks(left: DataFrame, right: DataFrame, tile: int):
     n, m = max(1, -(-left.count() // tile)), max(1, -(-right.count() // tile))
     a = left.select(F.col("id").alias("id"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
@@ -21,7 +26,8 @@ def _blocks(left: DataFrame, right: DataFrame, tile: int):
 
 
 def cosine_radius_join(left: DataFrame, right: DataFrame, radius: float, tile: int = 4096) -> DataFrame:
-    """(id, other, dist) of unit vectors (id, v) with 1 - dot <= radius; block products, only hits leave a block."""
+    """(id, other, dist) of unit vectors (id, v) with 1 - dot <= radius; block products, only hits leave a block.
+    Vectors that are null or have null or non-finite components are near to none."""
 
     def near(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
@@ -31,11 +37,12 @@ def cosine_radius_join(left: DataFrame, right: DataFrame, radius: float, tile: i
         i, j = np.nonzero(d <= radius)
         return pa.table([pa.array(p[i]), pa.array(q[j]), pa.array(d[i, j])], names=["id", "other", "dist"])
 
-    return _blocks(left.select("id", "v"), right.select("id", "v"), tile).applyInArrow(near, "id long, other long, dist double")
+    return _blocks(left.filter(sound("v")).select("id", "v"), right.filter(sound("v")).select("id", "v"), tile).applyInArrow(near, "id long, other long, dist double")
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, tile: int = 8192) -> DataFrame:
-    """(id, cluster_id, score): the centroid (cluster_id, v) with the largest dot product, ties to the smaller id."""
+    """(id, cluster_id, score): the centroid (cluster_id, v) with the largest dot product, ties to the smaller id.
+    Null for vectors that are null or have null or non-finite components; such centroids take no part."""
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
@@ -46,5 +53,7 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, tile: int = 8192) ->
         at = s.argmax(1)
         return pa.table([pa.array(p), pa.array(c[order][at]), pa.array(s.max(1))], names=["id", "cluster_id", "score"])
 
-    found = _blocks(rows.select("id", "v"), centroids.select(F.col("cluster_id").cast("long").alias("id"), "v"), tile).applyInArrow(best, "id long, cluster_id long, score double")
-    return found.groupBy("id").agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("c"))).alias("s")).select("id", (-F.col("s.c")).alias("cluster_id"), "s.score")
+    found = _blocks(rows.filter(sound("v")).select("id", "v"), centroids.filter(sound("v")).select(F.col("cluster_id").cast("long").alias("id"), "v"), tile).applyInArrow(best, "id long, cluster_id long, score double")
+    best = found.groupBy("id").agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("c"))).alias("s")).select("id", (-F.col("s.c")).alias("cluster_id"), "s.score")
+    none = rows.filter(~sound("v")).select("id", F.lit(None).cast("long").alias("cluster_id"), F.lit(None).cast("double").alias("score"))
+    return best.unionByName(none)

@@ -10,6 +10,7 @@ from ..schema import NON_MEME, REJECTED_BY_STAGE1, TEMPLATE_FREE
 
 def roc(rows: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """(threshold, tpr, fpr, gmean, selected) at every distinct score, highest first; selected: the first largest gmean.
+    With rows of one class only, the other's rate and gmean are null and nothing is selected.
 
     Rows are summed per score before they are ordered. Running sums are taken in two steps, inside ranges of
     scores and over the ranges' totals, so no task orders all distinct scores.
@@ -22,10 +23,10 @@ def roc(rows: DataFrame, score: str = "score", positive: str = "positive") -> Da
     whole = Window.partitionBy()
     base = ranges.select("__r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"), F.sum("rp").over(whole).alias("tp"), F.sum("rn").over(whole).alias("tn"))
     out = by.withColumn("cp", F.sum("p").over(inner)).withColumn("cn", F.sum("n").over(inner)).join(base, "__r")
-    tpr, fpr = (F.col("cp") + F.col("bp")) / F.col("tp"), (F.col("cn") + F.col("bn")) / F.col("tn")
+    tpr, fpr = F.try_divide(F.col("cp") + F.col("bp"), "tp"), F.try_divide(F.col("cn") + F.col("bn"), "tn")
     out = out.select("threshold", F.round(tpr, 6).alias("tpr"), F.round(fpr, 6).alias("fpr"), F.round(F.sqrt(tpr * (1 - fpr)), 6).alias("gmean"))
-    best = out.agg(F.max(F.struct("gmean", "threshold")).alias("s")).select(F.col("s.threshold").alias("__best"))
-    return out.join(F.broadcast(best)).withColumn("selected", F.col("threshold") == F.col("__best")).drop("__best")  # one row
+    best = out.filter("gmean is not null").agg(F.max(F.struct("gmean", "threshold")).alias("s")).select(F.col("s.threshold").alias("__best"))
+    return out.join(F.broadcast(best)).withColumn("selected", F.coalesce(F.col("threshold") == F.col("__best"), F.lit(False))).drop("__best")  # one row
 
 
 def two_stage(rows: DataFrame, threshold: float, reject: str = REJECTED_BY_STAGE1) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming
+from ..tables import settle
 
 BANDS, WIDTH = 4, 16
 
@@ -57,9 +58,9 @@ def tiled(left: DataFrame, right: DataFrame, radius: int, tile: int = 4096) -> D
 
 
 def near_hashes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
-    """(h, g, dist); bands while they enumerate few masks, tiles beyond."""
-    a, b = left.select("h").distinct(), right.select("h").distinct()
-    return banded(a, b, radius) if radius <= 11 else tiled(a, b, radius)
+    """(h, g, dist); bands while they enumerate few masks, tiles beyond. A null hash is near to none."""
+    a, b = (x.filter("h is not null").select("h").distinct() for x in (left, right))
+    return banded(a, b, int(radius)) if radius <= 11 else tiled(a, b, int(radius))
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
@@ -78,11 +79,13 @@ def capped(edges: DataFrame, k: int) -> DataFrame:
 def nearest_hash(queries: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, cluster_id, dist) of each query's nearest representative (cluster_id, h), ties to the smaller cluster.
 
-    Distinct hashes meet representatives in tiles; each tile keeps its best, and the best of those is taken.
+    Distinct hashes meet representatives in tiles of some rows each; each tile keeps its best, and the best of those is taken.
+    A query whose hash is null, and every query where there are no representatives, has a null cluster.
     """
-    tiles = max(1, -(-reps.count() // 8192))
-    q = queries.select("h").distinct().select("h", F.pmod(F.xxhash64("h"), F.lit(64)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("j"))
-    r = reps.select(F.col("cluster_id").alias("c"), F.col("h").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("gi"), F.pmod(F.xxhash64("cluster_id"), F.lit(tiles)).cast("int").alias("gj"))
+    reps, asked = reps.filter("h is not null"), settle(queries.filter("h is not null").select("h").distinct(), "nearest-asked")
+    tiles, blocks = max(1, -(-reps.count() // 8192)), max(1, -(-asked.count() // 65536))
+    q = asked.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("j"))
+    r = reps.select(F.col("cluster_id").alias("c"), F.col("h").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("gi"), F.pmod(F.xxhash64("cluster_id"), F.lit(tiles)).cast("int").alias("gj"))
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
@@ -98,4 +101,4 @@ def nearest_hash(queries: DataFrame, reps: DataFrame) -> DataFrame:
 
     found = q.groupBy("i", "j").cogroup(r.groupBy("gi", "gj")).applyInArrow(best, "h long, cluster_id long, dist int")
     one = found.groupBy("h").agg(F.min(F.struct("dist", "cluster_id")).alias("s")).select("h", "s.cluster_id", "s.dist")
-    return queries.select("id", "h").join(one, "h").select("id", "cluster_id", "dist")
+    return queries.select("id", "h").join(one, "h", "left").select("id", "cluster_id", "dist")

@@ -84,5 +84,6 @@ def seed_summary(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
 
 
 def timing(rows: DataFrame, keys: list[str], seconds: str) -> DataFrame:
+    """Counts and times of each key's rows; per_hour is null where no time was taken."""
     s = F.col(seconds)
-    return rows.groupBy(*keys).agg(F.count(s).alias("n"), F.round(F.avg(s), 3).alias("mean_s"), F.round(F.sum(s), 3).alias("total_s"), F.round(F.sum(s) / 60, 3).alias("total_min"), F.round(F.count(s) * 3600 / F.sum(s), 3).alias("per_hour"))
+    return rows.groupBy(*keys).agg(F.count(s).alias("n"), F.round(F.avg(s), 3).alias("mean_s"), F.round(F.sum(s), 3).alias("total_s"), F.round(F.sum(s) / 60, 3).alias("total_min"), F.round(F.try_divide(F.count(s) * 3600, F.sum(s)), 3).alias("per_hour"))

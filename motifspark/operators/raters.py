@@ -65,14 +65,14 @@ def codings(votes: DataFrame, keep_unsure: bool = False) -> DataFrame:
 
 
 def agreement(coded: DataFrame, raters: int) -> DataFrame:
-    """(coding, n_items, kappa, pairwise, unanimous) over images that all raters voted on: Fleiss' kappa and plain shares."""
+    """(coding, n_items, kappa, pairwise, unanimous) over images that all raters voted on: Fleiss' kappa and plain shares; where all votes are of one kind, chance is certain and kappa 1."""
     full = coded.groupBy("coding", "image_id").agg(F.count("*").alias("n")).filter(F.col("n") == raters).select("coding", "image_id")
     counts = coded.join(full, ["coding", "image_id"]).groupBy("coding", "image_id", "code").agg(F.count("*").alias("c"))
     items = counts.groupBy("coding", "image_id").agg(F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("kinds"))
     a = items.groupBy("coding").agg(F.count("*").alias("n_items"), F.avg((F.col("s") - raters) / (raters * (raters - 1))).alias("pa"), F.avg((F.col("kinds") == 1).cast("double")).alias("u"))
     totals = counts.groupBy("coding", "code").agg(F.sum("c").alias("c"))
     e = totals.join(a.select("coding", "n_items"), "coding").groupBy("coding").agg(F.sum(F.pow(F.col("c") / (F.col("n_items") * raters), 2)).alias("pe"))
-    return a.join(e, "coding").select("coding", "n_items", F.round((F.col("pa") - F.col("pe")) / (1 - F.col("pe")), 6).alias("kappa"), F.round("pa", 6).alias("pairwise"), F.round("u", 6).alias("unanimous"))
+    return a.join(e, "coding").select("coding", "n_items", F.round(F.when(F.col("pe") < 1, F.try_divide(F.col("pa") - F.col("pe"), 1 - F.col("pe"))).otherwise(1.0), 6).alias("kappa"), F.round("pa", 6).alias("pairwise"), F.round("u", 6).alias("unanimous"))
 
 
 def rater_pairs(votes: DataFrame) -> DataFrame:

@@ -108,6 +108,7 @@ def search(queries: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     exact = F.size(F.array_intersect("qw", "lw")) / n
     prefix = F.size(F.filter("qw", lambda w: F.exists("lw", lambda x: x.startswith(w)))) / n
     union = F.greatest(F.size(F.array_union("qg", "lg")), F.lit(1))
+    # fixed values: the weights of the score's parts
     score = 3.0 * exact + 1.5 * prefix + 2.0 * F.size(F.array_intersect("qg", "lg")) / union - 0.02 * F.size("lw")
     scored = met.select("query", "label", F.round(score, 4).alias("score")).filter("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "label"))).filter(F.col("rank") <= k)

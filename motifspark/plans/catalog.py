@@ -122,16 +122,16 @@ def label_keys(spark, d):
 
 
 _FREE, _NON = (str(tuple(keys)) for keys in (L.TEMPLATE_FREE_KEYS, L.NON_MEME_KEYS))
-_SPELT = """lab AS (SELECT sample_id, CASE sample_id % 6 WHEN 0 THEN ' Not a MEME' WHEN 1 THEN 'template-free' WHEN 2 THEN upper(pred) WHEN 3 THEN concat(' ', pred, ' ') WHEN 4 THEN 'none' ELSE NULL END AS label FROM preds WHERE method = 'm0')"""
+_SPELT = """lab AS (SELECT sample_id, CASE sample_id % 6 WHEN 0 THEN ' Not a MEME' WHEN 1 THEN 'template-free' WHEN 2 THEN concat(chr(9), upper(pred), chr(13)) WHEN 3 THEN concat(' ', pred, ' ') WHEN 4 THEN 'none' ELSE NULL END AS label FROM preds WHERE method = 'm0')"""
 
 
 @query(f"""WITH {S.PREDS}, {_SPELT}, voc AS (SELECT {KEY.format('pred', '_')} AS key, min(pred) AS name FROM preds GROUP BY 1), k AS (SELECT *, {KEY.format('label', '_')} AS key FROM lab)
-SELECT sample_id, CASE WHEN k.key IN {_NON} THEN 'Non-Meme' WHEN k.key IN {_FREE} THEN 'Template-Free' ELSE coalesce(voc.name, trim(coalesce(label, ''))) END AS canonical,
+SELECT sample_id, CASE WHEN k.key IN {_NON} THEN 'Non-Meme' WHEN k.key IN {_FREE} THEN 'Template-Free' ELSE coalesce(voc.name, trim(coalesce(label, ''), concat(' ', chr(9), chr(10), chr(13)))) END AS canonical,
   CASE WHEN k.key IN {_NON} THEN 'NON_MEME' WHEN k.key IN {_FREE} OR k.key IN ('', 'none', 'null', 'nan') THEN 'TEMPLATELESS' ELSE 'TEMPLATE' END AS kind
 FROM k LEFT JOIN voc ON voc.key = k.key""")
 def canonical_labels(spark, d):
     p = S.predictions(spark, d)
-    spelt = F.expr("CASE sample_id % 6 WHEN 0 THEN ' Not a MEME' WHEN 1 THEN 'template-free' WHEN 2 THEN upper(pred) WHEN 3 THEN concat(' ', pred, ' ') WHEN 4 THEN 'none' ELSE NULL END")
+    spelt = F.expr("CASE sample_id % 6 WHEN 0 THEN ' Not a MEME' WHEN 1 THEN 'template-free' WHEN 2 THEN concat(chr(9), upper(pred), chr(13)) WHEN 3 THEN concat(' ', pred, ' ') WHEN 4 THEN 'none' ELSE NULL END")
     lab = p.filter("method = 'm0'").select("sample_id", spelt.alias("label"))
     return L.canonical_label(lab, "label", p.select(F.col("pred").alias("name"))).select("sample_id", "canonical", L.label_kind(F.col("label")).alias("kind"))
 
@@ -148,10 +148,10 @@ def lenient_names(spark, d):
     return L.lenient_lookup(n, "name")
 
 
-@query("""SELECT event_id, TRY_CAST(CASE WHEN lower(trim(t)) IN ('na', 'n/a', 'none', 'nan', 'null', '') THEN NULL ELSE trim(t) END AS DOUBLE) AS number
-FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' N/A ' WHEN 1 THEN concat(' ', event_id) WHEN 2 THEN '' WHEN 3 THEN 'x1' ELSE concat(event_id, '.5') END AS t FROM events)""")
+@query("""SELECT event_id, TRY_CAST(CASE WHEN lower(trim(t, concat(' ', chr(9), chr(10), chr(13)))) IN ('na', 'n/a', 'none', 'nan', 'null', '') THEN NULL ELSE trim(t, concat(' ', chr(9), chr(10), chr(13))) END AS DOUBLE) AS number
+FROM (SELECT event_id, CASE event_id % 6 WHEN 5 THEN concat('N/A', chr(9)) WHEN 0 THEN ' N/A ' WHEN 1 THEN concat(chr(9), event_id, chr(13)) WHEN 2 THEN '' WHEN 3 THEN 'x1' ELSE concat(event_id, '.5') END AS t FROM events)""")
 def lenient_numbers(spark, d):
-    t = F.expr("CASE event_id % 5 WHEN 0 THEN ' N/A ' WHEN 1 THEN concat(' ', event_id) WHEN 2 THEN '' WHEN 3 THEN 'x1' ELSE concat(event_id, '.5') END")
+    t = F.expr("CASE event_id % 6 WHEN 5 THEN concat('N/A', chr(9)) WHEN 0 THEN ' N/A ' WHEN 1 THEN concat(chr(9), event_id, chr(13)) WHEN 2 THEN '' WHEN 3 THEN 'x1' ELSE concat(event_id, '.5') END")
     return read(spark, d, "events").select("event_id", L.to_float(t).alias("number"))
 
 
@@ -217,12 +217,15 @@ def prefix_rewrites(spark, d):
     return read(spark, d, "pages").select("page_id", rows.replace_prefix_all(u, "/", "#").alias("all_replaced"), rows.replace_prefix_first(u, "/", "#").alias("first_replaced"))
 
 
-_SPECIAL = """CASE page_id % 9 WHEN 0 THEN 'https://www.youtube.com/x' WHEN 1 THEN concat('https://imgur.com/a/', page_id) WHEN 2 THEN concat('https://imgur.com/G', page_id) WHEN 3 THEN 'https://imgur.com/u/v'
-  WHEN 4 THEN concat('https://i.redd.it/', page_id) WHEN 5 THEN 'https://ex.com/p.PNG' WHEN 6 THEN '' WHEN 7 THEN NULL ELSE url END"""
+_SPECIAL = """CASE page_id % 14 WHEN 0 THEN 'https://www.youtube.com/x' WHEN 1 THEN concat('https://imgur.com/a/', page_id) WHEN 2 THEN concat('https://imgur.com/G', page_id) WHEN 3 THEN 'https://imgur.com/u/v'
+  WHEN 4 THEN concat('https://i.redd.it/', page_id) WHEN 5 THEN 'https://ex.com/p.PNG' WHEN 6 THEN '' WHEN 7 THEN NULL
+  WHEN 8 THEN 'https://www.youtube.com/watch?v=a|b' WHEN 9 THEN 'https://imgur.com/a/x y' WHEN 10 THEN 'https://twitter.com/a/b?q={x}' WHEN 11 THEN concat('https://imgur.com/G[', page_id, ']')
+  WHEN 12 THEN concat(' ', url, chr(10)) ELSE url END"""
 
 
 @query(f"""WITH u AS (SELECT page_id, {_SPECIAL} AS u, url FROM pages)
-SELECT page_id, CASE WHEN page_id % 9 IN (0, 1, 3, 6, 7) THEN NULL WHEN page_id % 9 = 2 THEN concat('https://i.imgur.com/G', page_id, '.jpg') ELSE u END AS direct FROM u""")
+SELECT page_id, CASE WHEN page_id % 14 IN (0, 1, 3, 6, 7, 8, 9, 10) THEN NULL WHEN page_id % 14 = 2 THEN concat('https://i.imgur.com/G', page_id, '.jpg') WHEN page_id % 14 = 11 THEN concat('https://i.imgur.com/G[', page_id, '].jpg')
+  WHEN page_id % 14 = 12 THEN url ELSE u END AS direct FROM u""")
 def direct_urls(spark, d):
     return read(spark, d, "pages").select("page_id", U.direct_url(F.expr(_SPECIAL)).alias("direct"))
 

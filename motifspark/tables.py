@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def _own_folder() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A place under spark.checkpoint.dir; in a folder of our own only where that is unset."""
+    """A place under spark.checkpoint.dir; where that is unset, in a folder of our own in a single process, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # a running session does not let this setting be changed
+        if not re.match(r"local(\[[^,\]]*[,\d]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_folder()
     return f"{base.rstrip('/')}/{name}"
 
