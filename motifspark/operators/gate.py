@@ -29,6 +29,27 @@ def roc(rows: DataFrame, score: str = "score", positive: str = "positive") -> Da
     return out.join(F.broadcast(best)).withColumn("selected", F.coalesce(F.col("threshold") == F.col("__best"), F.lit(False))).drop("__best")  # one row
 
 
+def roc_points(rows: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
+    """``roc`` from an infinite threshold that nothing reaches, without points on a line between their neighbours.
+
+    A point stays if the rows that the next score adds differ in either kind from its own; the first and the last stay. The
+    next score is met inside a range of scores, or is the next range's first, so no task orders all scores. Dropped points
+    never hold the largest gmean alone: of collinear points an end is as good.
+    """
+    by = rows.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    by = by.withColumn("__r", F.floor(F.col("threshold") * 256))
+    down = Window.partitionBy("__r").orderBy(F.col("threshold").desc())
+    firsts = by.groupBy("__r").agg(F.max_by(F.struct("p", "n"), "threshold").alias("first")).withColumn("across", F.lead("first").over(Window.orderBy(F.col("__r").desc()))).select("__r", "across")
+    met = by.withColumn("next", F.lead(F.struct("p", "n")).over(down)).join(firsts, "__r").withColumn("next", F.coalesce("next", "across"))
+    kept = met.filter(F.col("next").isNull() | (F.col("next.p") != F.col("p")) | (F.col("next.n") != F.col("n"))).select("threshold")
+    points = roc(rows.filter(F.col(score).isNotNull()).withColumn(score, F.col(score).cast("double")), score, positive)
+    start = rows.agg(F.count_if(F.col(score).isNotNull() & F.col(positive)).alias("tp"), F.count_if(F.col(score).isNotNull() & ~F.col(positive)).alias("tn")).filter("tp + tn > 0")
+    first = start.select(F.lit(float("inf")).alias("threshold"), F.when(F.col("tp") > 0, 0.0).alias("tpr"), F.when(F.col("tn") > 0, 0.0).alias("fpr"), F.when((F.col("tp") > 0) & (F.col("tn") > 0), 0.0).alias("gmean"), F.lit(False).alias("selected"))
+    drawn = points.drop("selected").join(kept, "threshold", "left_semi")
+    best = drawn.filter("gmean is not null").agg(F.max(F.struct("gmean", "threshold")).alias("s")).select(F.col("s.threshold").alias("__best"))
+    return first.unionByName(drawn.join(F.broadcast(best)).withColumn("selected", F.coalesce(F.col("threshold") == F.col("__best"), F.lit(False))).drop("__best"))  # one row
+
+
 def two_stage(rows: DataFrame, threshold: float, reject: str = REJECTED_BY_STAGE1) -> DataFrame:
     """pred: the second stage's label where p_meme (missing: 1) reaches the threshold, else the reject token."""
     passed = F.coalesce("p_meme", F.lit(1.0)) >= threshold

@@ -46,7 +46,7 @@ def reply_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and rates of replies (valid, match_mode, error, finish_reason, truth, template_pred, latency_seconds, total_tokens)."""
     right = F.col("truth") == F.col("template_pred")
     n = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("n_invalid"), F.round(F.avg(F.col("valid").cast("double")), 6).alias("valid_rate"), F.count("error").alias("n_errors"),
+        F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("n_invalid"), F.round(F.avg(F.col("valid").cast("double")), 6).alias("valid_rate"), F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("n_errors"),
         F.count_if(F.col("finish_reason") == "length").alias("n_truncated"), F.count_if(F.col("match_mode") == "index").alias("n_index"), F.count_if(F.col("match_mode") == "name_exact").alias("n_exact"), F.count_if(F.col("match_mode") == "name_lenient").alias("n_lenient"),
         F.round(F.coalesce(F.sum(F.when(F.col("valid") & right, 1.0)), F.lit(0.0)) / F.greatest(F.count_if("valid"), F.lit(1)), 6).alias("accuracy_valid"), F.round(F.avg("latency_seconds"), 4).alias("mean_latency"), F.sum("total_tokens").alias("total_tokens"),
     )
@@ -67,13 +67,15 @@ def finish_reason(payload: Column) -> Column:
 
 def label_list(labels: DataFrame) -> DataFrame:
     """One row: the label space (label_idx, label), a bounded table, as numbered lines."""
-    lines = F.array_sort(F.collect_list(F.struct("label_idx", F.concat(F.col("label_idx").cast("string"), F.lit(": "), F.col("label")).alias("line"))))
+    lines = F.array_sort(F.collect_list(F.struct("label_idx", F.concat(F.lit("["), F.col("label_idx").cast("string"), F.lit("] "), F.col("label")).alias("line"))))
     return labels.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("label_list"))
 
 
 def pick_examples(rows: DataFrame, shots: int, seed: int) -> DataFrame:
-    """(template, image_path, shot): the first readable image of each of ``shots`` templates in a seeded order."""
-    one = rows.groupBy("template").agg(F.min("image_path").alias("image_path"))
+    """(template, image_path, shot): the first readable image of each of ``shots`` templates in a seeded order. Raises if there are fewer templates."""
+    one = rows.dropna(subset=["template", "image_path"]).groupBy("template").agg(F.min("image_path").alias("image_path"))
+    if shots > 0 and (n := one.count()) < shots:
+        raise ValueError(f"{shots} examples asked for, {n} templates have one")
     return one.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), "template"))).orderBy("__h", "template").limit(shots).withColumn("shot", F.row_number().over(Window.orderBy("__h", "template"))).drop("__h")
 
 
@@ -81,7 +83,7 @@ def prompts(queries: DataFrame, labels: DataFrame, examples: DataFrame) -> DataF
     """(image_path, prompt): label list, example turns, then the query's own turn."""
     shots = examples.join(labels.select(F.col("label").alias("template"), "label_idx"), "template").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shot", "image_path", "label_idx"))), lambda s: F.concat(F.lit("user: <image:"), s["image_path"], F.lit('>\nassistant: {"template_id": '), s["label_idx"].cast("string"), F.lit("}"))), "\n").alias("shots"))
     fixed = label_list(labels).join(shots)  # one row each
-    return queries.select("image_path").join(F.broadcast(fixed)).select("image_path", F.concat_ws("\n", F.lit("Templates:"), "label_list", "shots", F.concat(F.lit("user: <image:"), "image_path", F.lit(">"))).alias("prompt"))
+    return queries.select("image_path").join(F.broadcast(fixed)).select("image_path", F.concat_ws("\n", F.lit("Templates:"), "label_list", F.nullif("shots", F.lit("")), F.concat(F.lit("user: <image:"), "image_path", F.lit(">"))).alias("prompt"))
 
 
 def _words(c: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming
-from ..schema import OUTLIER, TEMPLATE_FREE
+from ..schema import OUTLIER, REJECTED_BY_STAGE1, TEMPLATE_FREE
 from ..tables import settle
-from . import cluster, densejoin, hashjoin, metrics, models, raters, rows, sparse, vote
+from . import cluster, densejoin, gate, hashjoin, linear, metrics, models, raters, replies, rows, sparse, vote
 from .hdbscan import hdbscan
 
 
@@ -111,3 +111,117 @@ def sparse_matching(train: DataFrame, test: DataFrame, order: str = "id", per_cl
     found = sparse.sparse_match(scaled(asked).select("id", "v"), scaled(refs).select("id", F.col("template").alias("label"), "v"), alpha)
     predictions = settle(asked.select("id", "template").join(found.select("id", F.col("label").alias("pred"), "residual"), "id"), "sparse-predictions")
     return {"predictions": predictions, "scores": metrics.scores(predictions.withColumn("method", F.lit("sparse")), ["method"], "template")}
+
+
+def keypoint_votes(train: DataFrame, test: DataFrame, points: DataFrame, radii: list, least: tuple = (20,), keypoints: int = 500, refs: int = 20, most: int = 27, weights: tuple = ("uniform", "distance"), val: float = 0.1, seed: int = 40, reject: str = OUTLIER) -> dict[str, DataFrame]:
+    """Radius votes among the first ``refs`` references (by id) of each template, where distance falls with shared keypoints.
+
+    train, test: (id, template). points: (id, kp, d) with the descriptors of both; an image without any is near to none.
+    The number of matches that counts at all (``least``), the radius and the weighting are those with the best f1 on a part
+    of the training rows. Pairs are matched once for all of them. Returns search (grid, least, radius, weights, f1, coverage,
+    covered_accuracy), selected and predictions (id, template, pred).
+    """
+    dealt = settle(rows.stratified_split(train.select("id", "template"), 1 - val, seed, "id"), "keypoints-split")
+    part = lambda p: dealt.filter(F.col("part") == p).drop("part")
+    labels = train.select(F.col("id").alias("ref"), F.col("template").alias("label"))
+    of = lambda ids: points.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("image"), "kp", "d")
+
+    def matched(queries: DataFrame, references: DataFrame) -> DataFrame:
+        n = vote.shared_keypoints(of(queries), of(rows.first_per_template(references, refs, "id")), most)
+        return settle(n.join(labels, "ref").select(F.col("query").alias("id"), "label", "n"), "keypoints-matches")
+
+    def graded(found: DataFrame, m: int) -> DataFrame:
+        return found.select("id", "label", vote.graded_distance(F.col("n"), F.lit(float(keypoints)), m).alias("dist"))
+
+    asked, found = part("test").select("id", F.col("template").alias("truth")), matched(part("test"), part("train"))
+    swept = None
+    for i, m in enumerate(least):
+        one = vote.sweep(asked, graded(found, m).filter(F.col("dist") <= max(radii)), radii, weights, reject)
+        one = one.withColumn("least", F.lit(m)).withColumn("grid", F.col("grid") + i * len(radii) * len(weights))
+        swept = one if swept is None else swept.unionByName(one)
+    swept, keys = settle(swept, "keypoints-sweep"), ["grid", "least", "radius", "weights"]
+    search = settle(metrics.scores(swept, keys).select(*keys, "f1").join(metrics.coverage(swept, keys, reject).select("grid", "coverage", "covered_accuracy"), "grid"), "keypoints-search")
+    selected = vote.best_f1(search)
+    best = selected.first()  # one row of the parameter grid
+    near = graded(matched(test, train), best["least"]).filter(F.col("dist") <= best["radius"])
+    return {"search": search, "selected": selected, "predictions": vote.predict(test.select("id", "template"), vote.votes(near, ["id"], best["weights"]), reject)}
+
+
+def _gated(calibrated_on: DataFrame, predicted: DataFrame, percent: float | None, fixed: float | None, to: str) -> tuple[DataFrame, DataFrame]:
+    """(threshold row, predictions with those below it demoted); without percent and fixed none is."""
+    if percent is None and fixed is None:
+        return gate.calibrate(calibrated_on, 0, 0.0), predicted.withColumn("demoted", F.lit(False))
+    cut = settle(gate.calibrate(calibrated_on, percent or 0, fixed), "run-threshold")
+    at = cut.first()["threshold"]  # one row; null if nothing could be calibrated
+    return cut, gate.apply_confidence(predicted, 0.0 if at is None else at, to)
+
+
+def histogram_regression(train: DataFrame, test: DataFrame, percent: float | None = None, fixed: float | None = None, iterations: int = 1000, to: str = TEMPLATE_FREE) -> dict[str, DataFrame]:
+    """Class-weighted regression on feature vectors; predictions less sure than ``percent`` of the training rows get ``to``.
+
+    train, test: (id, template, v). The threshold comes from the training rows that the model was fitted on; a fixed one
+    wins. Returns threshold, predictions (id, template, pred, confidence, demoted) and scores.
+    """
+    own = train.select("id", "v", F.col("template").alias("label"))
+    both = own.withColumn("side", F.lit("train")).unionByName(test.select("id", "v", F.col("template").alias("label"), F.lit("test").alias("side")))
+    said = settle(models.logistic(own, both, iterations=iterations).select("id", F.col("label").alias("template"), "pred", "confidence", "side"), "regression-said")
+    fitted = said.filter("side = 'train'").select(F.col("template").alias("truth"), "confidence")
+    cut, out = _gated(fitted, said.filter("side = 'test'").drop("side"), percent, fixed, to)
+    return {"threshold": cut, "predictions": out, "scores": metrics.scores(out.withColumn("method", F.lit("regression")), ["method"], "template")}
+
+
+def linear_head(train: DataFrame, test: DataFrame, val: float = 0.1, seed: int = 40, epochs: int = 50, patience: int = 5, percent: float | None = None, fixed: float | None = None, to: str = TEMPLATE_FREE) -> dict[str, DataFrame]:
+    """A linear head over frozen vectors (id, template, v), stopped by its loss on ``val`` of the training rows; predictions
+    that are not sure enough get ``to``, by a threshold from those held rows or a fixed one.
+
+    Returns history (epoch, train_loss, loss), stop, threshold, predictions (id, template, pred, confidence, demoted) and scores.
+    """
+    dealt = settle(rows.stratified_split(train.select("id", "template", "v"), 1 - val, seed, "id"), "head-split")
+    fit, held = (dealt.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
+    named = lambda df: df.select("v", F.col("template").alias("label"))
+    model = linear.fit(named(fit), named(held), epochs, patience)
+    seen = linear.predict(held, model).select(F.col("template").alias("truth"), "confidence")
+    said = settle(linear.predict(test.select("id", "template", "v"), model).drop("v"), "head-said")
+    cut, out = _gated(seen, said, percent, fixed, to)
+    return {"history": model["history"], "stop": model["stop"], "threshold": cut, "predictions": out, "scores": metrics.scores(out.withColumn("method", F.lit("head")), ["method"], "template")}
+
+
+def two_stages(validation: DataFrame, scored: DataFrame, reject: str = REJECTED_BY_STAGE1) -> dict[str, DataFrame]:
+    """A gate before a classifier, with the threshold of the best geometric mean on validation rows.
+
+    validation: (score, positive). scored: (id, template, p_meme, stage2_label). Without validation rows of both kinds no
+    threshold is chosen and nothing is rejected. Returns sweep, predictions (id, template, pred, is_rejected) and coverage.
+    """
+    sweep = settle(gate.roc(validation), "gate-sweep")
+    chosen = sweep.filter("selected").first()  # one row at most
+    out = gate.two_stage(scored, 0.0 if chosen is None else chosen["threshold"], reject).select("id", "template", "pred", "is_rejected")
+    return {"sweep": sweep, "predictions": out, "coverage": metrics.coverage(out.withColumn("method", F.lit("gate")), ["method"], reject, "template")}
+
+
+def replied(train: DataFrame, test: DataFrame, answers: DataFrame, shots: int = 1, seed: int = 40) -> dict[str, DataFrame]:
+    """Prompts for every test row, and its model's answer read back into a label and scored.
+
+    train, test: (template, image_path). answers: (image_path, payload, error, latency_seconds, total_tokens); a test row
+    without an answer, or whose payload is null, counts as an invalid one. The label space is the training templates in
+    order, indexed from 0. Returns prompts (image_path, prompt), predictions (image_path, truth, template_pred, valid,
+    match_mode, finish_reason), metrics and scores.
+    """
+    from ..functions.labels import label_index
+
+    space = settle(label_index(train.select("template")).select(F.col("label_idx").cast("int").alias("label_idx"), "label"), "reply-labels")
+    prompts = replies.prompts(test, space, replies.pick_examples(train, shots, seed))
+    met = test.select("image_path", F.col("template").alias("truth")).join(answers, "image_path", "left")
+    met = met.withColumn("raw_response_text", replies.payload_text(F.col("payload"))).withColumn("finish_reason", replies.finish_reason(F.col("payload"))).drop("payload")
+    out = settle(replies.resolve(met, space).withColumn("method", F.lit("replies")), "reply-predictions")
+    return {"prompts": prompts, "predictions": out.drop("method"), "metrics": replies.reply_metrics(out, ["method"]), "scores": metrics.scores(out, ["method"], "truth", "template_pred")}
+
+
+def pseudo_labels(train: DataFrame, held: DataFrame, seed: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(id, label) of training vectors (id, v) by k-means, and of held vectors by the nearest centre scaled to length one;
+    k is a hundredth of the rows, from 32 to 1024, and never more than there are rows."""
+    from ..functions.vectors import unit
+
+    own, model = cluster.kmeans(train, cluster.pseudo_label_k(train.count()), seed)
+    centres = train.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id long, v array<double>")
+    near = densejoin.nearest_centroid(held.select("id", "v"), centres.select("cluster_id", unit(F.col("v")).alias("v")))
+    return own.withColumnRenamed("cluster_id", "label"), near.select("id", F.col("cluster_id").alias("label"))

@@ -675,4 +675,4 @@ def streamed_rates(spark, d):
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).withColumn("total", F.round("total", 3))
 
 
-from . import composed  # noqa: E402, F401  registers its queries
+from . import composed, methods  # noqa: E402, F401  register their queries

@@ -155,19 +155,19 @@ def hash_cluster_run(spark, d):
 _RADII = [6, 8, 10, 12, 14, 16, 20, 24, 32]
 
 
-def vote_run_sql(points: str, own: str, dist: str, radii: list, order: str) -> str:
-    """CTEs that end in ``final``. points: CTEs ending in ``pts`` (id, template, source, and the column ``own``); dist: of q and r."""
+def vote_run_sql(points: str, own: str, dist: str, radii: list, order: str, refs: int = 1 << 62) -> str:
+    """CTEs that end in ``final``. points: CTEs ending in ``pts`` (id, template, source, and the column ``own``); dist: of q and r; the first ``refs`` rows of a template vote."""
     grid = ", ".join(f"({i}, {r})" for i, r in enumerate(radii))
     weigh = "CASE WHEN weights = 'uniform' THEN 1.0 WHEN z = 1 THEN CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END ELSE CAST(1 AS DOUBLE) / dist END"
     return f"""{points}, tr AS (SELECT id, template, {own} FROM pts WHERE source = 'imgflip_train'), te AS (SELECT id, template, {own} FROM pts WHERE source = 'imgflip_test'), {split_sql('tr', 'id', 0.9)},
 grid AS (SELECT 2 * i + j AS grid, CAST(r AS DOUBLE) AS radius, w AS weights FROM (SELECT * FROM (VALUES {grid}) t(i, r)), (SELECT * FROM (VALUES (0, 'uniform'), (1, 'distance')) u(j, w))),
-ev AS (SELECT q.id AS id, r.template AS label, {dist} AS dist FROM dealt q JOIN dealt r ON q.part = 'test' AND r.part = 'train' AND {dist} <= {max(radii)}),
+ev AS (SELECT q.id AS id, r.template AS label, {dist} AS dist FROM dealt q JOIN (SELECT * FROM dealt WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY template ORDER BY id) <= {refs}) r ON q.part = 'test' AND {dist} <= {max(radii)}),
 m AS (SELECT grid.grid AS grid, weights, id, label, dist, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY grid.grid, id) AS z FROM ev JOIN grid ON dist <= radius),
 sw AS (SELECT grid, id, label, round(sum({weigh}), 9) AS w FROM m GROUP BY 1, 2, 3), wn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid, id ORDER BY w DESC, label) AS k FROM sw) WHERE k = 1),
 swept AS (SELECT grid.grid AS grid, radius, weights, q.id AS id, q.template AS truth, coalesce(wn.label, '__OUTLIER__') AS pred, 1 AS w FROM grid CROSS JOIN (SELECT * FROM dealt WHERE part = 'test') q LEFT JOIN wn ON wn.grid = grid.grid AND wn.id = q.id),
 {metrics_sql('swept', 'grid, radius, weights')}, cov AS (SELECT grid, count(*) FILTER (pred <> '__OUTLIER__') / count(*) AS coverage FROM swept GROUP BY 1),
 best AS (SELECT radius, weights FROM scored JOIN cov USING (grid) {order} LIMIT 1),
-ef AS (SELECT q.id AS id, r.template AS label, {dist} AS dist, weights, max(CASE WHEN {dist} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY q.id) AS z FROM te q CROSS JOIN best JOIN tr r ON {dist} <= radius),
+ef AS (SELECT q.id AS id, r.template AS label, {dist} AS dist, weights, max(CASE WHEN {dist} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY q.id) AS z FROM te q CROSS JOIN best JOIN (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY template ORDER BY id) <= {refs}) r ON {dist} <= radius),
 sf AS (SELECT id, label, round(sum({weigh}), 9) AS w FROM ef GROUP BY 1, 2), wf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS k FROM sf) WHERE k = 1),
 final AS (SELECT te.id AS id, te.template AS template, coalesce(wf.label, '__OUTLIER__') AS pred FROM te LEFT JOIN wf ON wf.id = te.id)"""
 
