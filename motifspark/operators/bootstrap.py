@@ -87,3 +87,51 @@ def two_stage_interval(values: DataFrame, keys: list[str], metric: str, replicat
     out = seeds.groupBy(*keys).agg(F.avg("m").alias("mean"), F.var_samp("m").alias("vb"), F.avg("v").alias("vw"), F.count("*").alias("s"))
     half = F.lit(T_2) * F.sqrt(F.col("vb") / F.col("s") + F.col("vw") / (F.col("s") * replicates))
     return out.select(*keys, F.round("mean", 4).alias("mean"), F.round(F.col("mean") - half, 4).alias("lo"), F.round(F.col("mean") + half, 4).alias("hi"))
+
+
+def multinomial_scores(rows: DataFrame, key: str, id: str, replicates: int, seed: int, bucket: int = 1 << 14, block: int = 64) -> DataFrame:
+    """Scores (rep, key, ...) of every replicate, drawn as counts: a replicate gives each profile, the rows (key, truth, pred) that
+    some ids have in common, a share of its n draws by one multinomial, so work is replicates x profiles, not replicates x ids.
+
+    Profiles lie in buckets of about ``bucket``. A replicate's counts of whole buckets are drawn first, the same in every
+    task, and inside a bucket given its count; that is the multinomial over all profiles, and no task holds them all.
+    The driver holds one number a bucket. Draws depend on seed, replicate and bucket only, so a repeated task draws the
+    same. Replicates are paired over keys. Null labels are a label. Without rows there are no scores.
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    own = rows.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(key, "truth", "pred"))).alias("profile"))  # a row for each method
+    alike = settle(own.groupBy("profile").agg(F.min(id).alias("like"), F.count("*").alias("n")), "boot-alike")
+    buckets = max(1, -(-alike.count() // bucket))
+    placed = alike.withColumn("bucket", F.pmod(F.xxhash64("like"), F.lit(buckets)).cast("int"))
+    totals = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a number a bucket
+    filled = sorted(totals)
+    sizes = np.array([totals[b] for b in filled], dtype=np.int64)
+    schema = rows.schema[key].dataType.simpleString()
+
+    def draw(t: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return t.select(["rep", "key", "truth", "pred", "n"])
+        p = t.to_pandas().sort_values("like", kind="stable").reset_index(drop=True)
+        b, first, n = int(p["bucket"][0]), int(p["block"][0]) * block, p["n"].to_numpy()
+        reps = np.arange(first, min(first + block, replicates))
+        counts = np.empty((len(reps), len(p)), dtype=np.int64)
+        for i, rep in enumerate(reps):
+            mine = np.random.default_rng([seed, rep]).multinomial(sizes.sum(), sizes / sizes.sum())[filled.index(b)]
+            counts[i] = np.random.default_rng([seed, rep, b + 1]).multinomial(mine, n / n.sum())
+        at = np.repeat(np.arange(len(p)), p["profile"].map(len))
+        cells = pd.DataFrame([(e[key], e["truth"], e["pred"]) for profile in p["profile"] for e in profile], columns=["key", "truth", "pred"])
+        code = cells.groupby(["key", "truth", "pred"], dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+        sums = np.add.reduceat(counts[:, at[order]], starts, axis=1)
+        i, j = np.nonzero(sums)
+        named = cells.iloc[order[starts]].reset_index(drop=True).iloc[j]
+        return pa.table({"rep": pa.array(reps[i], pa.int64()), "key": pa.Array.from_pandas(named["key"], type=t.schema.field("profile").type.value_type.field(key).type), "truth": pa.Array.from_pandas(named["truth"], type=pa.string()), "pred": pa.Array.from_pandas(named["pred"], type=pa.string()), "n": pa.array(sums[i, j], pa.int64())})
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("block")
+    drawn = placed.select("bucket", "like", "n", "profile", blocks).groupBy("bucket", "block").applyInArrow(draw, f"rep long, key {schema}, truth string, pred string, n long")
+    counts = drawn.groupBy("rep", F.col("key").alias(key), "truth", "pred").agg(F.sum("n").alias("n"))
+    return scores_of(marginals(counts, ["rep", key]), ["rep", key], digits=9)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import gate, raters, replies, rows, runs
+from ..operators import bootstrap, cluster, gate, raters, replies, rows, runs
+from ..functions.vectors import coefficient_hash
 from ..schema import TEMPLATED, UNLABELED
+from ..streaming import assign
 from ..tables import read
 from . import standins as S
-from .catalog import _DESC, _TALLY, COARSE, metrics_sql, query
+from .catalog import _DESC, _TALLY, COARSE, REPLICATES, metrics_sql, query
 from .composed import split_sql, vote_run_sql
 
 
@@ -173,3 +175,25 @@ def pseudo_label_run(spark, d):
     train, test = _sides(spark, d)
     own, held = runs.pseudo_labels(train, test)
     return own.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("test")))
+
+
+# ---------------------------------------------------------------- multinomial draws (I1), streamed assignment
+@query()
+def bootstrap_intervals_multinomial(spark, d):
+    """The survey's 10,000 replicates, drawn as counts of profiles; tested for mean and variance."""
+    v = bootstrap.multinomial_scores(S.predictions(spark, d), "method", "sample_id", REPLICATES, 40)
+    return bootstrap.intervals(v, ["method"], ["f1", "mcc", "cohen_kappa"])
+
+
+@query(f"""WITH {S.HASHES}, own AS (SELECT id, label, h FROM hashes WHERE id < 100000), share AS (SELECT label, i, avg(CAST((h >> i) & 1 AS DOUBLE)) AS a FROM own, (SELECT CAST(range AS INTEGER) AS i FROM range(64)) r GROUP BY 1, 2),
+mj AS (SELECT label, CAST(sum(CASE WHEN a >= 0.5 THEN CASE WHEN i = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << i END ELSE 0 END) AS BIGINT) AS major FROM share GROUP BY 1),
+md AS (SELECT label, h FROM (SELECT label, h, row_number() OVER (PARTITION BY label ORDER BY bit_count(xor(h, major)), id) AS k FROM own JOIN mj USING (label)) WHERE k = 1),
+n AS (SELECT own.id AS id, CAST(md.label AS BIGINT) AS cluster_id, CAST(bit_count(xor(own.h, md.h)) AS INTEGER) AS dist, row_number() OVER (PARTITION BY own.id ORDER BY bit_count(xor(own.h, md.h)), md.label) AS k FROM own, md)
+SELECT id, cluster_id, dist, CASE WHEN cluster_id % 2 = 0 THEN concat('t', cluster_id) ELSE 'Template-Free' END AS pred_label FROM n WHERE k = 1""")
+def streamed_assignment(spark, d):
+    """Hashes of a stream of vectors to the nearest label's medoid; odd labels have no name."""
+    own = S.hashes(spark, d).filter("id < 100000").select("id", "h", F.col("label").cast("long").alias("cluster_id"))
+    medoids = cluster.medoids(own).select("cluster_id", "h")
+    names = medoids.filter("cluster_id % 2 = 0").select("cluster_id", F.concat(F.lit("t"), "cluster_id").alias("template"))
+    hashed = lambda e: e.select(F.col("vec_id").alias("id"), F.timestamp_seconds(F.col("vec_id") + 86400).alias("at"), coefficient_hash(F.col("embedding").cast("array<double>")).alias("h"))
+    return assign.drain(spark, d, hashed, "at", medoids, names, late="36500 days", files="embeddings.parquet")["predictions"].drop("at")

@@ -71,3 +71,12 @@ def runs(spark: SparkSession, root: str, file: str = "open_set_predictions.csv")
 def write_delimited(rows: DataFrame, path: str) -> None:
     """As ``delimited`` reads it."""
     rows.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+
+
+def put(rows: DataFrame, path: str, form: str = "parquet") -> None:
+    """rows as parquet, json (a line a row) or csv with a header, in place of what was there."""
+    if form == "csv":
+        return write_delimited(rows, path)
+    if form not in ("parquet", "json"):
+        raise ValueError(f"no sink {form}")
+    rows.write.mode("overwrite").format(form).save(path)

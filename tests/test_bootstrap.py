@@ -76,3 +76,22 @@ def test_pooled_as_weighted(stand_in):
     pooled = bootstrap.pooled_scores(rows, "method", "sample_id", 30, SEED)
     joined = bootstrap.replicate_scores(rows, bootstrap.weights(rows, "sample_id", 30, SEED), ["method"], "sample_id")
     assert sorted(map(tuple, pooled.collect())) == sorted(map(tuple, joined.select(pooled.columns).collect()))
+
+
+@pytest.mark.parametrize("bucket", [1 << 14, 4])
+def test_multinomial(spark, bucket):
+    """Moments of the replicates are those of n draws with replacement; alike methods stay alike in every replicate."""
+    rows = [(i, m, None if i % 31 == 0 else "abc"[i % 3], "abc"[(i * i + (m == "b") * i) % 7 % 3]) for i in range(400) for m in ("a", "a2", "b")]
+    t = spark.createDataFrame(rows, "sample_id long, method string, truth string, pred string")
+    got = bootstrap.multinomial_scores(t, "method", "sample_id", 2000, 7, bucket=bucket, block=300).toPandas()
+    assert len(got) == 6000 and (got["n"] == 400).all()
+    for m in ("a", "b"):
+        own = got[got.method == m].set_index("rep")["accuracy"]
+        q = sum(x == y for _, k, x, y in rows if k == m) / 400
+        assert own.mean() == pytest.approx(q, abs=4 * math.sqrt(q * (1 - q) / 400 / 2000))
+        assert own.var() == pytest.approx(q * (1 - q) / 400, rel=0.15)
+    wide = got.pivot(index="rep", columns="method", values="f1")
+    assert (wide["a"] == wide["a2"]).all() and (wide["a"] != wide["b"]).any()
+    again = bootstrap.multinomial_scores(t.repartition(3), "method", "sample_id", 2000, 7, bucket=bucket, block=300).toPandas()
+    assert got.sort_values(["rep", "method"]).values.tolist() == again.sort_values(["rep", "method"]).values.tolist()
+    assert bootstrap.multinomial_scores(t.limit(0), "method", "sample_id", 10, 7).count() == 0
