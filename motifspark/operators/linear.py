@@ -48,7 +48,7 @@ def _summed(parts: DataFrame, fan: int = 64) -> list:
     while tasks > 1:
         parts = parts.withColumn("g", F.floor(F.col("task") / fan)).groupBy("c", "g").applyInArrow(add, schema)
         tasks = -(-tasks // fan)
-    return parts.orderBy("c").collect()  # a row for each class
+    return sorted(parts.collect(), key=lambda r: r["c"])  # a row for each class
 
 
 def _moments(rows: DataFrame, d: int) -> tuple[np.ndarray, int]:
