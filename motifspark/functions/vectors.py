@@ -11,9 +11,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """L2-normalised; a norm under 1e-12 counts as that."""
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / n)
+    """L2-normalised; a norm under 1e-12 counts as that. Vector and norm are variables, so each is worked out once a row, not once a component."""
+    scaled = lambda w: F.transform(F.array(F.greatest(norm(w), F.lit(1e-12))), lambda n: F.transform(w, lambda x: x / n))[0]
+    return F.transform(F.array(v), scaled)[0]
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -122,6 +122,14 @@ def run_counters(rows: DataFrame, names: DataFrame) -> DataFrame:
     return flags.agg(F.count_distinct(c).alias("clusters_discovered"), F.count_distinct(F.when(F.col("named") == 1, c)).alias("clusters_named"), F.count_if(F.col("cluster_id") < 0).alias("noise_points"))
 
 
+def prediction_counters(predictions: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """unknown_predictions of (pred_template), and neighbour_edges (id, other; both ways) without those to the row itself, 0 if not given."""
+    unknown = predictions.agg(F.count_if(F.col("pred_template") == UNKNOWN_CLUSTER).alias("unknown_predictions"))
+    if edges is None:
+        return unknown.withColumn("neighbour_edges", F.lit(0).cast("long"))
+    return unknown.crossJoin(edges.agg(F.count_if(F.col("id") != F.col("other")).alias("neighbour_edges")))  # a single row each
+
+
 def kmeans(rows: DataFrame, k: int, seed: int = 40):
     """MLlib k-means (parallel initialisation) of (id, v): (id, cluster_id) and the model."""
     from pyspark.ml.clustering import KMeans

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Share of blue, green and red in a gray value. Fixed values.
 GRAY = (0.114, 0.587, 0.299)
+#: The same in units of 2^-16, as image libraries round it; lobes of the resampling and units of its weights. Fixed values.
+GRAY_UNITS, LOBES, UNITS = (7471, 38470, 19595), 3, 1 << 22
 
 
 def cosine_basis(side: int) -> np.ndarray:
@@ -46,23 +50,43 @@ def dct_hash(rows: DataFrame, pixels: int) -> DataFrame:
     return rows.select("id", "v").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long")
 
 
+@functools.lru_cache(256)
+def resampling(n: int, pixels: int) -> np.ndarray:
+    """Weights (pixels, n) that take n values to ``pixels``: a three-lobed windowed sinc, widened where values are merged, in units of 2^-22."""
+    wide = max(n / pixels, 1.0)
+    centre = (np.arange(pixels)[:, None] + 0.5) * (n / pixels)
+    x = (np.arange(n)[None] + 0.5 - centre) / wide
+    w = np.where(np.abs(x) < LOBES, np.sinc(x) * np.sinc(x / LOBES), 0.0)
+    w /= w.sum(1, keepdims=True)
+    return np.sign(w) * np.floor(np.abs(w) * UNITS + 0.5)
+
+
+def resized(gray: np.ndarray, pixels: int) -> np.ndarray:
+    """A gray image of bytes as pixels x pixels bytes: rows are resampled first, then columns, each rounded to bytes. Sums stay exact in doubles."""
+    out = gray.astype(np.float64)
+    for _ in range(2):
+        out = np.clip(np.floor((out @ resampling(out.shape[1], pixels).T + UNITS // 2) / UNITS), 0, 255).T
+    return out
+
+
+def gray_bytes(raw: np.ndarray) -> np.ndarray:
+    """Gray values of an image (height, width, channels) whose first three channels are blue, green and red."""
+    if raw.shape[2] == 1:
+        return raw[:, :, 0]
+    return ((raw[:, :, :3].astype(np.int64) @ np.array(GRAY_UNITS) + 0x8000) >> 16).astype(np.uint8)
+
+
 def gray_grids(images: DataFrame, pixels: int) -> DataFrame:
-    """(path, v) of rows of Spark's image source (path, image): gray values, averaged over the boxes of a pixels x pixels grid."""
+    """(path, v) of rows of Spark's image source (path, image): gray bytes, resampled to a pixels x pixels grid without aliases.
+    An image without pixels has a null grid."""
 
     def run(batches):
         for b in batches:
             out = []
             for height, width, channels, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "nChannels", "data"))):
-                raw = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
-                gray = raw[:, :, 0] if channels == 1 else raw[:, :, :3] @ np.array(GRAY)
-                for _ in range(2):  # columns of boxes, then rows
-                    n = gray.shape[0]
-                    at = np.arange(pixels) * n // pixels
-                    end = np.maximum(at + 1, -(-(np.arange(pixels) + 1) * n // pixels))
-                    sums = np.vstack([np.zeros((1, gray.shape[1])), gray.cumsum(0)])
-                    gray = ((sums[end] - sums[at]) / (end - at)[:, None]).T
-                out.append(gray.reshape(-1))
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([x.tolist() for x in out], pa.list_(pa.float64()))], ["path", "v"])
+                some = height and width and height > 0 and width > 0
+                out.append(resized(gray_bytes(np.frombuffer(data, np.uint8).reshape(height, width, channels)), pixels).reshape(-1).tolist() if some else None)
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.list_(pa.float64()))], ["path", "v"])
 
     parts = images.select("path", "image.height", "image.width", "image.nChannels", "image.data")
     return parts.mapInArrow(run, "path string, v array<double>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +23,24 @@ def standardise(rows: DataFrame, moments: DataFrame) -> DataFrame:
     return met.withColumn("v", scaled).drop("mean", "std")
 
 
-def pca(rows: DataFrame, fit_on: DataFrame, k: int) -> DataFrame:
-    """``rows`` with v projected on the k leading components of ``fit_on``; both are centred on its mean first."""
+def reducer(fit_on: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
+    """What projects v on the k leading components of ``fit_on`` (all of them, where a vector is shorter), centred on its mean."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     mean = position_moments(fit_on).select("mean")
 
     def centred(part: DataFrame) -> DataFrame:
-        return part.crossJoin(F.broadcast(mean)).withColumn("__x", array_to_vector(F.zip_with("v", "mean", lambda x, m: x - m))).drop("mean")
+        return part.crossJoin(F.broadcast(mean)).withColumn("__x", array_to_vector(F.zip_with("v", "mean", lambda x, m: x - m))).drop("mean")  # a single row
+
+    first = mean.select(F.size("mean").alias("n")).first()
+    model = PCA(k=max(1, min(k, first["n"])), inputCol="__x", outputCol="__y").fit(centred(fit_on.select("v")))
+    return lambda rows: model.transform(centred(rows)).withColumn("v", vector_to_array("__y")).drop("__x", "__y")
 
-    model = PCA(k=k, inputCol="__x", outputCol="__y").fit(centred(fit_on.select("v")))
-    return model.transform(centred(rows)).withColumn("v", vector_to_array("__y")).drop("__x", "__y")
+
+def pca(rows: DataFrame, fit_on: DataFrame, k: int) -> DataFrame:
+    """``rows`` with v projected on the k leading components of ``fit_on``; both are centred on its mean first."""
+    return reducer(fit_on, k)(rows)
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:

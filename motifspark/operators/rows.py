@@ -32,6 +32,39 @@ def class_summary(rows: DataFrame, least: int = 7) -> DataFrame:
     return rows.groupBy("template").agg(F.count("*").alias("n")).agg(F.count("*").alias("templates_before"), F.sum("n").alias("rows_before"), F.count_if(kept).alias("templates_after"), F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("rows_after"))
 
 
+def removed_classes(rows: DataFrame, least: int = 7, top: int = 20) -> DataFrame:
+    """(template, n): the largest of the classes that ``drop_small_classes`` takes away, ties in order of name."""
+    return rows.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") < least).orderBy(F.col("n").desc(), "template").limit(top)
+
+
+def excluded_count(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row (template, n) for each name: how many rows ``exclude_templates`` takes away, 0 where there is none."""
+    asked = rows.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], "template string")
+    found = rows.filter(F.col("template").isin(names)).groupBy("template").agg(F.count("*").alias("n"))
+    return asked.join(found, "template", "left").select("template", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def missing_templates(wanted: list[str], found: DataFrame) -> DataFrame:
+    """(template): wanted names, blanks dropped, of which ``found`` (template) has no row."""
+    asked = found.sparkSession.createDataFrame([(n.strip(),) for n in dict.fromkeys(wanted) if n and n.strip()], "template string").distinct()
+    return asked.join(found.select("template"), "template", "left_anti")
+
+
+def missing_paths(rows: DataFrame, path: str, listing: DataFrame) -> DataFrame:
+    """One row (rows, missing): how many rows there are, and of how many the path is null or not in ``listing`` (path)."""
+    there = listing.select(F.col("path").alias("__path"), F.lit(True).alias("__there")).distinct()
+    met = rows.select(F.col(path).alias("__path")).join(there, "__path", "left")
+    return met.agg(F.count("*").alias("rows"), F.count_if(F.col("__there").isNull()).alias("missing"))
+
+
+def until(rows: DataFrame, order: str, done: Column, most: int) -> DataFrame:
+    """The rows up to the one that is the ``most``-th done in ``order`` (unique), all if fewer are; none if most is 0."""
+    last = rows.filter(done).select(F.col(order).alias("__o")).orderBy("__o").limit(most)
+    bound = last.agg(F.max("__o").alias("__last"), F.count("*").alias("__n"))
+    met = rows.crossJoin(F.broadcast(bound))  # a single row
+    return met.filter((F.col("__n") < most) | (F.col(order) <= F.col("__last"))).drop("__last", "__n")
+
+
 def first_templates(rows: DataFrame, n: int) -> DataFrame:
     names = rows.select("template").distinct().orderBy("template").limit(n)
     return rows.join(names, "template", "left_semi")

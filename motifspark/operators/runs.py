@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hamming
-from ..schema import OUTLIER, REJECTED_BY_STAGE1, TEMPLATE_FREE
+from ..functions.vectors import fuse, hamming, unit
+from ..schema import OUTLIER, REJECTED_BY_STAGE1, TEMPLATE_FREE, TRAIN_SOURCE
 from ..tables import settle
 from . import cluster, densejoin, gate, hashjoin, linear, metrics, models, raters, replies, rows, sparse, vote
 from .hdbscan import hdbscan
@@ -55,6 +55,36 @@ def vector_clusters(found: DataFrame, queries: DataFrame, clusters: DataFrame, s
     return {"clusters": members.select("id", "cluster_id"), "names": names, "examples": cluster.cluster_examples(typical.drop("template"), names, top), "counters": cluster.run_counters(members, names), "predictions": closed.join(every, "id")}
 
 
+def reduced_clusters(found: DataFrame, queries: DataFrame, dim: int | None = 128, method: str = "kmeans", k: int | None = None, steps: int = 1, seed: int = 40, top: int = 6, reject: str = TEMPLATE_FREE, min_samples: int | None = None, min_cluster_size: int = 10) -> dict[str, DataFrame]:
+    """``vector_clusters`` of vectors v that are reduced to ``dim`` components first (None: as they are) and made unit vectors.
+
+    found: (id, v, template, source, image_path); queries: (id, v). The reducer sees the rows of ``found`` only. method:
+    kmeans, with k clusters (None: as many as labelled templates), or hdbscan. Rows whose vector is null or holds null or
+    non-finite components are left out on both sides, as pictures are that a model can't read.
+    """
+    whole, asked = found.filter(densejoin.sound("v")), queries.filter(densejoin.sound("v"))
+    if dim is not None:
+        reduce = models.reducer(whole, dim)
+        whole, asked = reduce(whole), reduce(asked)
+    ready = lambda df, name: settle(df.withColumn("v", unit(F.col("v"))), name)
+    whole, asked = ready(whole, "run-found"), ready(asked, "run-queries")
+    if method == "kmeans" and k is None:
+        k = whole.filter(F.col("source") == TRAIN_SOURCE).agg(F.count_distinct("template").alias("n")).first()["n"]
+    start = settle(clusterer(method, whole.select("id", "v"), k=k or 2, seed=seed, min_samples=min_samples, min_cluster_size=min_cluster_size), "run-start")
+    return vector_clusters(whole, asked, start, steps, top, reject) | {"reduced": whole.select("id", "v"), "start": start}
+
+
+def fused_clusters(found: DataFrame, queries: DataFrame, alpha: float = 0.55, **options) -> dict[str, DataFrame]:
+    """``reduced_clusters`` of two models' vectors a and b of each row, side by side with shares alpha and 1 - alpha.
+    Rows without one of them are left out."""
+
+    def joined(df: DataFrame) -> DataFrame:
+        there = df.filter(densejoin.sound("a") & densejoin.sound("b"))
+        return there.withColumn("v", fuse(F.col("a"), F.col("b"), alpha)).drop("a", "b")
+
+    return reduced_clusters(joined(found), joined(queries), **options)
+
+
 def radius_votes(train: DataFrame, test: DataFrame, edges: Callable[[DataFrame, DataFrame, float], DataFrame], radii: list, weights: tuple = ("uniform", "distance"), selection: str = "val_f1", val: float = 0.1, seed: int = 40, reject: str = OUTLIER) -> dict[str, DataFrame]:
     """Radius votes with radius and weighting chosen on a part of the training rows.
 
@@ -219,7 +249,6 @@ def replied(train: DataFrame, test: DataFrame, answers: DataFrame, shots: int =
 def pseudo_labels(train: DataFrame, held: DataFrame, seed: int = 40) -> tuple[DataFrame, DataFrame]:
     """(id, label) of training vectors (id, v) by k-means, and of held vectors by the nearest centre scaled to length one;
     k is a hundredth of the rows, from 32 to 1024, and never more than there are rows."""
-    from ..functions.vectors import unit
 
     own, model = cluster.kmeans(train, cluster.pseudo_label_k(train.count()), seed)
     centres = train.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id long, v array<double>")

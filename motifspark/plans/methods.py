@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import bootstrap, cluster, gate, raters, replies, rows, runs
+from ..operators import bootstrap, cluster, gate, hashjoin, raters, replies, rows, runs
 from ..functions.vectors import coefficient_hash
 from ..schema import TEMPLATED, UNLABELED
 from ..streaming import assign
@@ -177,6 +177,61 @@ def pseudo_label_run(spark, d):
     return own.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("test")))
 
 
+# ---------------------------------------------------------------- fused and reduced clusters (P1, P2): tested against numpy
+def _halves(spark, d):
+    p = S.planted(spark, d).select("id", "template", "source", F.concat(F.lit("p/"), "id").alias("image_path"), F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
+    return p.filter("source <> 'imgflip_test'"), p.filter("source = 'imgflip_test'").select("id", "a", "b")
+
+
+@query()
+def fused_cluster_run(spark, d):
+    """Two models' vectors fused with the published share, 16 components, k-means, one refinement, names, assignment."""
+    return runs.fused_clusters(*_halves(spark, d), dim=16)["predictions"].withColumn("score", F.round("score", 6))
+
+
+@query()
+def fused_cluster_examples(spark, d):
+    """Members of the clusters by themselves; as many clusters as labelled templates."""
+    return runs.fused_clusters(*_halves(spark, d), dim=16)["examples"]
+
+
+# ---------------------------------------------------------------- counters
+@query(f"WITH {S.ROWS}, c AS (SELECT template, count(*) AS n FROM rows_ GROUP BY 1 HAVING count(*) < 55) SELECT template, n FROM c ORDER BY n DESC, template LIMIT 20")
+def removed_classes(spark, d):
+    return rows.removed_classes(S.labelled_rows(spark, d), 55)
+
+
+@query(f"WITH {S.ROWS}, w AS (SELECT unnest(['src1', 'src3', 'none']) AS template) SELECT w.template AS template, count(rows_.doc_id) AS n FROM w LEFT JOIN rows_ USING (template) GROUP BY 1")
+def excluded_counts(spark, d):
+    return rows.excluded_count(S.labelled_rows(spark, d), ["src1", "none", "src3"])
+
+
+@query(f"WITH {S.ROWS}, w AS (SELECT unnest(['src1', 'src3', 'none', 'other']) AS template) SELECT template FROM w WHERE template NOT IN (SELECT template FROM rows_)")
+def missing_templates(spark, d):
+    return rows.missing_templates(["src1", " ", "none", "other ", "src3", "none"], S.labelled_rows(spark, d))
+
+
+@query(f"WITH {S.ROWS} SELECT count(*) AS rows, count(*) FILTER (doc_id % 3 = 0) AS missing FROM rows_")
+def missing_paths(spark, d):
+    r = S.labelled_rows(spark, d)
+    moved = r.withColumn("image_path", F.concat(F.lit("new/"), "image_path"))
+    return rows.missing_paths(moved, "image_path", moved.filter("doc_id % 3 <> 0").select(F.col("image_path").alias("path")))
+
+
+@query("SELECT event_id FROM events WHERE event_id <= (SELECT max(event_id) FROM (SELECT event_id FROM events WHERE event_id % 3 = 0 ORDER BY 1 LIMIT 100))")
+def fetched_until(spark, d):
+    """Events up to the hundredth that counts as fetched."""
+    return rows.until(read(spark, d, "events").select("event_id"), "event_id", F.col("event_id") % 3 == 0, 100)
+
+
+@query(f"""WITH {S.HASHES} SELECT (SELECT count(*) FROM hashes WHERE label % 3 = 0) AS unknown_predictions, (SELECT count(*) FROM hashes a JOIN hashes b ON a.id <> b.id AND bit_count(xor(a.h, b.h)) <= 8) AS neighbour_edges""")
+def prediction_counters(spark, d):
+    h = S.hashes(spark, d).select("id", "h", "label")
+    names = h.select(F.col("label").cast("long").alias("cluster_id")).distinct().filter("cluster_id % 3 <> 0").withColumn("template", F.concat(F.lit("t"), "cluster_id"))
+    said = cluster.closed_predictions(h.select("id", F.col("label").cast("long").alias("cluster_id")), names)
+    return cluster.prediction_counters(said, hashjoin.radius_join(h, h, 8))
+
+
 # ---------------------------------------------------------------- multinomial draws (I1), streamed assignment
 @query()
 def bootstrap_intervals_multinomial(spark, d):

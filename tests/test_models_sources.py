@@ -1,5 +1,6 @@
 """Models against numpy, sources and the stream on small files."""
 
+import math
 import os
 import struct
 import zlib
@@ -77,6 +78,37 @@ def test_images(spark, tmp_path):
     assert got == {"x": want - (1 << 64 if want >> 63 else 0), "null": None}
 
 
+def test_resampling():
+    """Two dark and two bright squares, worked out beforehand; a plain image and one of the size asked for stay as they are."""
+    squares = np.full((16, 16), 255 - 0xE1, np.uint8)
+    squares[:8, :8] = squares[8:, 8:] = 0xE1
+    half = features.resized(squares, 8).astype(int)
+    assert half[:4, :4].tolist() == [[0xE1, 0xE0, 0xE4, 0xD7], [0xE0, 0xDF, 0xE3, 0xD6], [0xE4, 0xE3, 0xE7, 0xDA], [0xD7, 0xD6, 0xD9, 0xCE]]
+    assert abs(half - half.T).max() <= 1 and (half == half[::-1, ::-1]).all()  # rows are rounded before columns
+    assert (features.resized(np.full((50, 7), 93, np.uint8), 32) == 93).all()
+    noise = np.random.default_rng(1).integers(0, 256, (32, 32)).astype(np.uint8)
+    assert (features.resized(noise, 32) == noise).all()
+    assert features.resized(np.array([[0, 255]], np.uint8), 4)[0].tolist() == plain_row([0, 255], 4)
+
+
+def plain_row(row, pixels):
+    """One row resampled value by value with the weights' definition."""
+    n, out = len(row), []
+    wide = max(n / pixels, 1)
+    for k in range(pixels):
+        w = []
+        for i in range(n):
+            x = (i + 0.5 - (k + 0.5) * n / pixels) / wide
+            w.append(0 if abs(x) >= 3 else 1 if x == 0 else 3 * math.sin(math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x) ** 2)
+        out.append(min(255, max(0, round(sum(v * a for v, a in zip(row, w)) / sum(w)))))
+    return out
+
+
+def test_gray_bytes():
+    raw = np.array([[[255, 255, 255], [0, 0, 255], [255, 0, 0], [0, 255, 0]]], np.uint8)  # white, red, blue, green
+    assert features.gray_bytes(raw).tolist() == [[255, 76, 29, 150]]
+
+
 def test_tables(spark, tmp_path):
     spark.createDataFrame([("p", "t")], "path string, template_name string").write.parquet(str(tmp_path / "s1"))
     spark.createDataFrame([("q", "u", "z")], "image_path string, template string, source string").write.parquet(str(tmp_path / "s2"))
