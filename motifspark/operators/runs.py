@@ -85,25 +85,27 @@ def fused_clusters(found: DataFrame, queries: DataFrame, alpha: float = 0.55, **
     return reduced_clusters(joined(found), joined(queries), **options)
 
 
-def radius_votes(train: DataFrame, test: DataFrame, edges: Callable[[DataFrame, DataFrame, float], DataFrame], radii: list, weights: tuple = ("uniform", "distance"), selection: str = "val_f1", val: float = 0.1, seed: int = 40, reject: str = OUTLIER) -> dict[str, DataFrame]:
+def radius_votes(train: DataFrame, test: DataFrame, edges: Callable[[DataFrame, DataFrame, float], DataFrame], radii: list, weights: tuple = ("uniform", "distance"), selection: str = "val_f1", val: float = 0.1, seed: int = 40, reject: str = OUTLIER, by: str = "h") -> dict[str, DataFrame]:
     """Radius votes with radius and weighting chosen on a part of the training rows.
 
-    train, test: (id, template, and what ``edges`` needs); edges(queries, references, radius) gives (id, other, dist).
+    train, test: (id, template, ``by``); edges(queries, references, radius) gives (id, other, dist) of rows (id, ``by``).
+    Distinct values meet once: references of one value and label vote by their number, and queries of one value share the
+    outcome, so n queries and m references of a value cost one edge for each label.
     selection: val_f1, the best f1 of the whole grid, or zero_rejection, the smallest radius that rejects nothing.
     Returns search (grid, radius, weights, f1, coverage, covered_accuracy), selected (its chosen row) and predictions
     (id, template, pred).
     """
-    dealt = settle(rows.stratified_split(train, 1 - val, seed, "id"), "votes-split")
-    fit, held = (dealt.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
-    labels = train.select(F.col("id").alias("other"), F.col("template").alias("label"))
-    near = lambda q, r, radius: edges(q, r, radius).join(labels, "other").select("id", "label", "dist")
-    swept = settle(vote.sweep(held.select("id", F.col("template").alias("truth")), near(held, fit, max(radii)), radii, weights, reject), "votes-sweep")
+    dealt = settle(rows.stratified_split(train.select("id", "template", by), 1 - val, seed, "id"), "votes-split")
+    fit, held = (settle(vote.pointed(dealt.filter(F.col("part") == p), by), "votes-points") for p in ("train", "test"))
+    near = lambda q, r, radius: vote.distinct_edges(q, r, edges, radius, by)
+    swept = settle(vote.sweep(held.select("id", F.col("template").alias("truth"), "point"), near(held, fit, max(radii)), radii, weights, reject), "votes-sweep")
     keys = ["grid", "radius", "weights"]
     search = settle(metrics.scores(swept, keys).select(*keys, "f1").join(metrics.coverage(swept, keys, reject).select("grid", "coverage", "covered_accuracy"), "grid"), "votes-search")
     selected = (vote.best_f1 if selection == "val_f1" else vote.zero_rejection)(search)
     best = selected.first()  # one row of the parameter grid
-    won = vote.votes(near(test, train, best["radius"]), ["id"], best["weights"])
-    return {"search": search, "selected": selected, "predictions": vote.predict(test.select("id", "template"), won, reject)}
+    asked, known = (settle(vote.pointed(settle(df.select("id", "template", by), "votes-rows"), by), "votes-points") for df in (test, train))
+    won = vote.votes(near(asked, known, best["radius"]), ["id"], best["weights"])
+    return {"search": search, "selected": selected, "predictions": vote.predict(asked.select("id", "template", "point"), won, reject).drop("point")}
 
 
 def rated_truth(votes: DataFrame, raters_: int, breaks: DataFrame | None = None, keep_unsure: bool = False) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from .hashjoin import band_masks
 
 
 def votes(edges: DataFrame, keys: list[str], weights: str = "uniform", zero_rule: bool = True, least_distance: float = 1e-6) -> DataFrame:
-    """(keys, label) that wins among neighbours (keys, label, dist); ties to the first label in order.
+    """(keys, label) that wins among neighbours (keys, label, dist, perhaps copies: how many rows vote as one); ties to the
+    first label in order.
 
     distance: weight 1 / d; with the zero rule a query's zero-distance neighbours alone count, else d is at least
     ``least_distance``.
@@ -23,18 +26,32 @@ def votes(edges: DataFrame, keys: list[str], weights: str = "uniform", zero_rule
         w = F.when(F.col("__zero") == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
     else:
         w = 1.0 / F.greatest(F.col("dist").cast("double"), F.lit(least_distance))
-    by = n.groupBy(*keys, "label").agg(F.round(F.sum(w), 9).alias("w"))
+    by = n.groupBy(*keys, "label").agg(F.round(F.sum(w * F.col("copies") if "copies" in n.columns else w), 9).alias("w"))
     order = Window.partitionBy(*keys).orderBy(F.col("w").desc(), "label")
     return by.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*keys, "label")
 
 
+def pointed(rows: DataFrame, by: str) -> DataFrame:
+    """rows with point: the smallest id of the rows that share the value of ``by``, null where that is null."""
+    return rows.join(rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("id").alias("point")), by, "left")
+
+
+def distinct_edges(queries: DataFrame, references: DataFrame, edges: Callable[[DataFrame, DataFrame, float], DataFrame], radius: float, by: str) -> DataFrame:
+    """(id, label, dist, copies) of pointed queries and references (id, template, ``by``, point): id is a query's point, and
+    the references of one value and label are one edge. edges(queries, references, radius) gives (id, other, dist)."""
+    one = lambda df: df.filter("id = point").dropDuplicates(["id"]).select("id", by)
+    labels = references.filter("point is not null").groupBy(F.col("point").alias("other"), F.col("template").alias("label")).agg(F.count("*").alias("copies"))
+    return edges(one(queries), one(references), radius).join(labels, "other").select("id", "label", "dist", "copies")
+
+
 def predict(queries: DataFrame, winners: DataFrame, reject: str = OUTLIER) -> DataFrame:
-    """queries (id, ...) with pred; without a neighbour: the reject token."""
-    return queries.join(winners.withColumnRenamed("label", "pred"), "id", "left").withColumn("pred", F.coalesce("pred", F.lit(reject)))
+    """queries (id, ...) with pred; without a neighbour: the reject token. Winners are of a query's point if it has one."""
+    at = "point" if "point" in queries.columns else "id"
+    return queries.join(winners.select(F.col("id").alias(at), F.col("label").alias("pred")), at, "left").withColumn("pred", F.coalesce("pred", F.lit(reject)))
 
 
 def sweep(queries: DataFrame, edges: DataFrame, radii: list, weights: tuple = ("uniform", "distance"), reject: str = OUTLIER) -> DataFrame:
-    """One row (grid, radius, weights, id, truth, pred) for each combination and query (id, truth).
+    """One row (grid, radius, weights, id, truth, pred) for each combination and query (id, truth, perhaps point, to which edges refer).
 
     edges: (id, label, dist) at the largest radius, joined once; every combination filters the same rows.
     """
@@ -46,8 +63,11 @@ def sweep(queries: DataFrame, edges: DataFrame, radii: list, weights: tuple = ("
     won = parts[0]
     for p in parts[1:]:
         won = won.unionByName(p)
-    asked = queries.select("id", "truth").join(grid)
-    return asked.join(won.withColumnRenamed("label", "pred"), ["grid", "id"], "left").withColumn("pred", F.coalesce("pred", F.lit(reject)))
+    at = "point" if "point" in queries.columns else "id"
+    asked = queries.select("id", "truth", F.col(at).alias("__at")).join(grid)
+    won = won.select("grid", F.col("id").alias("__at"), F.col("label").alias("pred"))
+    met = asked.join(won, ["grid", "__at"], "left").drop("__at")
+    return met.select("grid", "id", "truth", "radius", "weights", F.coalesce("pred", F.lit(reject)).alias("pred"))
 
 
 def best_f1(results: DataFrame) -> DataFrame:

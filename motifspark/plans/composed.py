@@ -190,7 +190,7 @@ _POINTS = f"{S.PLANTED}, pts AS (SELECT id, template, source, v FROM planted)"
 def embedding_vote_run(spark, d):
     """Cosine radius votes; of the radii that reject nothing, the smallest."""
     p = S.planted(spark, d).select("id", "template", "source", "v")
-    return runs.radius_votes(p.filter("source = 'imgflip_train'"), p.filter("source = 'imgflip_test'"), densejoin.cosine_radius_join, _COSINES, selection="zero_rejection")["predictions"]
+    return runs.radius_votes(p.filter("source = 'imgflip_train'"), p.filter("source = 'imgflip_test'"), densejoin.cosine_radius_join, _COSINES, selection="zero_rejection", by="v")["predictions"]
 
 
 @query()

@@ -1,5 +1,7 @@
 """Hand-worked cases of single rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,33 @@ def test_shared_keypoints_against_all_pairs(spark):
     shape = "image int, kp int, d array<long>"
     got = shared_keypoints(spark.createDataFrame(q, shape), spark.createDataFrame(r, shape))
     assert sorted(tuple(x) for x in got.collect()) == wanted and wanted
+
+
+def test_votes_of_one_hash_on_very_many_rows(spark):
+    """100,000 references and as many queries share a hash: their edges are one for each label, not 10^10."""
+    from motifspark.operators import hashjoin, runs
+
+    n = 100000
+    train = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("template"), F.lit(5).cast("long").alias("h")).unionByName(spark.range(n, n + 40).selectExpr("id", "'c' AS template", "255L << 20 AS h"))
+    test = spark.range(2 * n, 3 * n).selectExpr("id", "'b' AS template", "IF(id % 1000 = 0, 255L << 20, IF(id % 1000 = 1, NULL, 5L)) AS h")
+    got = runs.radius_votes(train, test, hashjoin.radius_join, [2, 4])["predictions"].groupBy("pred").count().collect()
+    assert {r[:] for r in got} == {("b", n - 200), ("c", 100), ("__OUTLIER__", 100)}
+
+
+def test_votes_by_distinct_values_are_those_of_rows(spark):
+    from motifspark.operators import hashjoin, vote
+
+    r = random.Random(6)
+    q, refs = ([(i, f"t{r.randrange(3)}", r.choice([0, 1, 3, 7, 255, None])) for i in range(40)] for _ in range(2))
+    a, b = (vote.pointed(spark.createDataFrame(t, "id long, template string, h long"), "h") for t in (q, refs))
+    near = vote.distinct_edges(a, b, hashjoin.radius_join, 2, "h")
+    for weights in ("uniform", "distance"):
+        got = {x.id: x.pred for x in vote.predict(a, vote.votes(near, ["id"], weights)).collect()}
+        for i, _, h in q:
+            score = {}
+            found = [] if h is None else [(t, (h ^ g).bit_count()) for _, t, g in refs if g is not None and (h ^ g).bit_count() <= 2]
+            zero = any(d == 0 for _, d in found)
+            for t, d in found:
+                score[t] = score.get(t, 0) + (1 if weights == "uniform" else (d == 0) if zero else 1 / d)
+            want = min(score, key=lambda t: (-round(score[t], 9), t)) if score else "__OUTLIER__"
+            assert got[i] == want
