@@ -42,3 +42,6 @@ def test_keypoints_are_not_broadcast(spark):
 
     rows = spark.range(5000).selectExpr("CAST(id AS INT) AS image", "0 AS kp", "array(id, id, id, id) AS d")
     assert "Broadcast" not in shared_keypoints(rows, rows)._jdf.queryExecution().executedPlan().toString()
+
+def test_keypoint_run_past_the_shift(spark, grown):
+    assert agrees(spark, "keypoint_run", grown(1))  # ids 5 and 100005 are one image, as in the SQL
