@@ -17,7 +17,7 @@ def window_counts(events: DataFrame, time: str, kind: str, value: str, width: st
 
 
 def drain(spark: SparkSession, folder: str, time: str, kind: str, value: str, width: str = "1 hour", late: str = "30 days", files: str = "*.parquet") -> DataFrame:
-    """Counts of all that has arrived in ``folder``, in files named so: each batch writes the windows it changed, and the last word on each holds."""
+    """Counts of all that has arrived in ``folder`` (perhaps a pattern, which may fit a folder of files or a single file), in files named so: each batch writes the windows it changed, and the last word on each holds."""
     schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
     base = shared_path(spark, f"rates-{uuid.uuid4().hex}")
