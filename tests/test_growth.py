@@ -45,3 +45,17 @@ def test_keypoints_are_not_broadcast(spark):
 
 def test_keypoint_run_past_the_shift(spark, grown):
     assert agrees(spark, "keypoint_run", grown(1))  # ids 5 and 100005 are one image, as in the SQL
+
+
+@pytest.mark.parametrize("name", ["streamed_assignment", "nearest_representative"])
+def test_part_files_and_ids_past_the_shift(spark, grown, name):
+    assert agrees(spark, name, grown(0))  # copies of 0, 4, ... have the ids 100000, 100004, ... of other vectors
+
+
+def test_streamed_counts_of_part_files(spark, tmp_path):
+    import __spark_entry__
+
+    spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    name = next(n for n, q in __spark_entry__.queries().items() if n.startswith("streamed") and n != "streamed_assignment")
+    one, parts = (sorted(map(tuple, __spark_entry__.queries()[name](spark, d).collect())) for d in (SF, str(tmp_path)))
+    assert one == parts and one
