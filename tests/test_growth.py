@@ -59,3 +59,35 @@ def test_streamed_counts_of_part_files(spark, tmp_path):
     name = next(n for n, q in __spark_entry__.queries().items() if n.startswith("streamed") and n != "streamed_assignment")
     one, parts = (sorted(map(tuple, __spark_entry__.queries()[name](spark, d).collect())) for d in (SF, str(tmp_path)))
     assert one == parts and one
+
+
+@pytest.mark.parametrize("radius", [0, 3, 8, 11])
+def test_bands_of_any_number_find_every_pair(spark, monkeypatch, radius):
+    """The plan follows the counts, so each number of bands is tried with counts that choose it."""
+    import random
+
+    from motifspark.operators import hashjoin
+
+    r = random.Random(radius)
+    base = [r.getrandbits(63) for _ in range(12)]
+    near = lambda: r.choice(base) ^ sum(1 << b for b in r.sample(range(63), r.choice([0, 1, radius, radius + 1])))
+    a, b = ({near() for _ in range(60)} for _ in range(2))
+    want = {(h, g, (h ^ g).bit_count()) for h in a for g in b if (h ^ g).bit_count() <= radius}
+    x, y = (spark.createDataFrame([(h,) for h in s], "h long") for s in (a, b))
+    plan, tried = hashjoin.band_plan, set()
+    for n in (10, 10**4, 10**6):
+        monkeypatch.setattr(hashjoin, "band_plan", lambda radius, left, right: plan(radius, n, n))
+        tried.add(len(plan(radius, n, n)))
+        joined = hashjoin.banded(x, y, radius)
+        assert {tuple(p) for p in joined.collect()} == want
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert len(tried) > 1 or radius == 0
+
+
+def test_hash_compares_with_a_variable(spark):
+    """The sort for the median stood inside the comparison of each of the 64 bits and ran once for each."""
+    from motifspark.functions.vectors import coefficient_hash
+
+    plan = spark.range(1).select(coefficient_hash(F.array(*[F.rand(i) for i in range(64)])).alias("h"))._jdf.queryExecution().analyzed().toString()
+    compared = plan[plan.index(" > ") + 3 :]
+    assert compared.startswith("lambda")
