@@ -91,3 +91,26 @@ def test_hash_compares_with_a_variable(spark):
     plan = spark.range(1).select(coefficient_hash(F.array(*[F.rand(i) for i in range(64)])).alias("h"))._jdf.queryExecution().analyzed().toString()
     compared = plan[plan.index(" > ") + 3 :]
     assert compared.startswith("lambda")
+
+
+@pytest.mark.parametrize("labels", [3, 400])
+def test_votes_shuffle_labels_not_edges(spark, labels):
+    """Edges of a wide radius come as counts by label and distance; the votes of the grid are those of plain edges."""
+    import random
+
+    from motifspark.operators import hashjoin, vote
+
+    r = random.Random(labels)
+    q, refs = ([(i, f"t{r.randrange(labels)}", r.choice([None, r.getrandbits(12), r.getrandbits(12)])) for i in range(n)] for n in (30, 400))
+    a, b = (vote.pointed(spark.createDataFrame(t, "id long, template string, h long"), "h") for t in (q, refs))
+    near = vote.distinct_edges(a, b, hashjoin.radius_join, 7, "h")
+    pairs = [(i, t, (h ^ g).bit_count()) for i, _, h in q for _, t, g in refs if h is not None and g is not None and (h ^ g).bit_count() <= 7]
+    assert near.agg(F.sum("copies")).first()[0] == sum(1 for i, _, _ in pairs if i == min(k for k, _, h in q if h == q[i][2]))
+    if labels == 3:
+        assert near.count() <= 30 * 3 * 8
+    plain = spark.createDataFrame(pairs, "id long, label string, dist int")
+    asked = a.select("id", F.col("template").alias("truth"), "point")
+    got = {(x.grid, x.id): x.pred for x in vote.sweep(asked, near, [7, 2, 5]).collect()}
+    for k, (radius, weights) in enumerate((x, w) for x in (7, 2, 5) for w in ("uniform", "distance")):
+        want = {x.id: x.label for x in vote.votes(plain.filter(F.col("dist") <= radius), ["id"], weights).collect()}
+        assert {i: got[k, i] for i, _, _ in q} == {i: want.get(i, "__OUTLIER__") for i, _, _ in q}
