@@ -114,3 +114,12 @@ def test_votes_shuffle_labels_not_edges(spark, labels):
     for k, (radius, weights) in enumerate((x, w) for x in (7, 2, 5) for w in ("uniform", "distance")):
         want = {x.id: x.label for x in vote.votes(plain.filter(F.col("dist") <= radius), ["id"], weights).collect()}
         assert {i: got[k, i] for i, _, _ in q} == {i: want.get(i, "__OUTLIER__") for i, _, _ in q}
+
+
+def test_kmeans_sends_no_pairs_of_centres(spark):
+    from motifspark.operators.cluster import kmeans
+
+    rows = spark.range(60).selectExpr("id", "array(CAST(id % 3 AS DOUBLE), CAST(id AS DOUBLE) / 1000) AS v")
+    out, model = kmeans(rows, 3)
+    assert model.getSolver() == "block"
+    assert {len({r.id % 3 for r in out.collect() if r.cluster_id == c}) for c in range(3)} == {1}
