@@ -43,6 +43,20 @@ def test_keypoints_are_not_broadcast(spark):
     rows = spark.range(5000).selectExpr("CAST(id AS INT) AS image", "0 AS kp", "array(id, id, id, id) AS d")
     assert "Broadcast" not in shared_keypoints(rows, rows)._jdf.queryExecution().executedPlan().toString()
 
+
+def test_keypoint_run_sends_no_rows_to_the_driver(spark, monkeypatch):
+    """Descriptors, matches and labels were broadcast while they were small as written."""
+    import __spark_entry__
+    from motifspark.operators import runs
+
+    plans, settle = {}, runs.settle
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(runs, "settle", lambda df, name: plans.setdefault(name, text(df)) and settle(df, name))
+    plans["predictions"] = text(__spark_entry__.queries()["keypoint_run"](spark, SF))
+    assert {"keypoints-points", "keypoints-matches"} < set(plans)
+    assert not [n for n in ("keypoints-points", "keypoints-matches", "predictions") if "Broadcast" in plans[n]]
+
+
 def test_keypoint_run_past_the_shift(spark, grown):
     assert agrees(spark, "keypoint_run", grown(1))  # ids 5 and 100005 are one image, as in the SQL
 
