@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import settle
+from . import draws
 from .graph import numbered
 from .metrics import marginals, scores_of
 
@@ -52,19 +53,56 @@ def replicate_binary(rows: DataFrame, w: DataFrame, keys: list[str], id: str, po
     return sums.select("rep", *keys, share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def pooled_scores(rows: DataFrame, key: str, id: str, replicates: int, seed: int) -> DataFrame:
-    """The scores that replicate_scores gives with weights, for many replicates: ids whose rows (key, truth, pred) are
-    all equal count as one, so a draw becomes one of few profiles before anything is joined with rows."""
-    profiles = settle(rows.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(key, "truth", "pred"))).alias("profile")), "boot-profiles")  # a row for each method
-    alike = profiles.groupBy("profile").agg(F.min(id).alias("like"))
-    numbered = positions(rows, id)
-    at = settle(numbered.join(profiles, id).join(alike, "profile").select("pos", "like"), "boot-positions")
-    n = numbered.count()
+def pooled_scores(rows: DataFrame, key: str, id: str, replicates: int, seed: int, span: int = 1 << 22, chunk: int = 1 << 16) -> DataFrame:
+    """The scores that replicate_scores gives with weights, for many replicates. A task draws some replicates: it counts their
+    draws by position and sums these counts over rows (key, truth, pred) by cell, one of the distinct rows. Neither draws nor
+    counts of ids leave it, so what is shuffled grows with rows and cells, not with replicates x ids.
+
+    A task holds the rows of at most ``span`` positions, packed by ``chunk`` (65,536 at most, a divisor of span); where there
+    are more, it draws once for each such range. Rows go to eight tasks for each core, however small they are.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    at = positions(rows, id)
+    n = at.count()
     spark = rows.sparkSession
-    draws = spark.range(0, replicates * n, 1, max(spark.sparkContext.defaultParallelism, replicates * n >> 21)).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("draw"))
-    drawn = draws.select("rep", F.pmod(draw_hash(F.col("rep"), F.col("draw"), seed), F.lit(n)).alias("pos")).join(at, "pos").groupBy("rep", "like").agg(F.count("*").alias("w"))
-    met = drawn.join(alike, "like").select("rep", "w", F.inline("profile"))
-    return scores_of(marginals(met.groupBy("rep", key, "truth", "pred").agg(F.sum("w").alias("n")), ["rep", key]), ["rep", key], digits=9)
+    each = rows.select(id, F.struct(key, "truth", "pred").alias("row"))
+    cells = settle(numbered(each, "row", "cell", "boot-cells"), "boot-cells")
+
+    def pack(t: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["chunk", "places", "cells"])
+        c = t.column("chunk")[0].as_py()
+        place, cell = (t.column("pos").to_numpy() - c * chunk).astype(np.uint16), t.column("cell").to_numpy().astype(np.int32)
+        return pa.table([pa.array([c]), pa.array([place.tobytes()]), pa.array([cell.tobytes()])], names=["chunk", "places", "cells"])
+
+    placed = each.join(at, id).join(cells, "row").select((F.col("pos") / chunk).cast("long").alias("chunk"), "pos", "cell")
+    packed = placed.groupBy("chunk").applyInArrow(pack, "chunk long, places binary, cells binary")
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    block = max(1, -(-replicates // tasks))
+    dealt = packed.select("*", F.floor(F.col("chunk") * chunk / span).alias("range"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("block"))
+
+    def draw(t: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 3]
+        if t.num_rows:
+            first, low = t.column("block")[0].as_py() * block, t.column("range")[0].as_py() * span
+            size = min(span, n - low)
+            place = np.concatenate([np.frombuffer(p, np.uint16).astype(np.int64) + (c * chunk - low) for c, p in zip(t.column("chunk").to_pylist(), t.column("places").to_pylist())])
+            cell = np.concatenate([np.frombuffer(c, np.int32) for c in t.column("cells").to_pylist()])
+            for rep in range(first, min(first + block, replicates)):
+                w = np.zeros(size, np.int64)
+                for drawn in draws.positions(seed, rep, n):
+                    own = drawn if size == n else drawn[(drawn >= low) & (drawn < low + size)] - low
+                    w += np.bincount(own, minlength=size)
+                sums = np.bincount(cell, w[place])  # whole numbers, exact in doubles
+                j = np.flatnonzero(sums)
+                out.append((np.full(len(j), rep), j, sums[j].astype(np.int64)))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "cell", "n"])
+
+    drawn = dealt.repartition(tasks, "range", "block").groupBy("range", "block").applyInArrow(draw, "rep long, cell long, n long")
+    counts = drawn.join(cells, "cell").select("rep", "row.*", "n")
+    return scores_of(marginals(counts, ["rep", key]), ["rep", key], digits=9)
 
 
 def intervals(values: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

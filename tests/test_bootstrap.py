@@ -78,6 +78,27 @@ def test_pooled_as_weighted(stand_in):
     assert sorted(map(tuple, pooled.collect())) == sorted(map(tuple, joined.select(pooled.columns).collect()))
 
 
+@pytest.mark.parametrize("n", [1, 7, 10, 123, 10_000, 25_001])
+def test_draws_in_arrays(n):
+    """The hashes of a replicate's draws are those of plain MD5, whatever the digits of replicate and draw."""
+    from motifspark.operators import draws
+
+    for seed, rep in ((SEED, 0), (SEED, 9_999), (7, 10), (12345, 321)):
+        got = [int(p) for part in draws.positions(seed, rep, n, piece=2) for p in part]
+        assert got == [int(hashlib.md5(f"{seed}|{rep}|{k}".encode()).hexdigest()[:7], 16) % n for k in range(n)]
+
+
+@pytest.mark.parametrize("span, chunk", [(8, 4), (1 << 22, 7)])
+def test_pooled_in_ranges(spark, span, chunk):
+    """Positions in several ranges and chunks, null labels, a method that is missing; no row of the plan stands for a draw."""
+    rows = [(i, m, None if i % 7 == 0 else "abc"[i % 3], "abc"[(i * i + (m == "b") * i) % 7 % 3]) for i in range(30) for m in ("a", "b") if (i, m) != (4, "b")]
+    t = spark.createDataFrame(rows, "sample_id long, method string, truth string, pred string")
+    pooled = bootstrap.pooled_scores(t, "method", "sample_id", 12, 7, span, chunk)
+    assert "Range (" not in pooled._jdf.queryExecution().executedPlan().toString()
+    joined = bootstrap.replicate_scores(t, bootstrap.weights(t, "sample_id", 12, 7), ["method"], "sample_id")
+    assert sorted(map(tuple, pooled.collect())) == sorted(map(tuple, joined.select(pooled.columns).collect()))
+
+
 @pytest.mark.parametrize("bucket", [1 << 14, 4])
 def test_multinomial(spark, bucket):
     """Moments of the replicates are those of n draws with replacement; alike methods stay alike in every replicate."""
