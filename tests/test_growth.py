@@ -137,3 +137,34 @@ def test_kmeans_sends_no_pairs_of_centres(spark):
     out, model = kmeans(rows, 3)
     assert model.getSolver() == "block"
     assert {len({r.id % 3 for r in out.collect() if r.cluster_id == c}) for c in range(3)} == {1}
+
+
+@pytest.mark.parametrize("name", ["hamming_radius_join", "capped_neighbours", "prediction_counters"])
+def test_radius_joins_of_labelled_hashes(spark, grown, name):
+    """A label beside the hash, without copies, was taken for the tallied form and ended the query; ids past the shift are two rows of one id."""
+    assert agrees(spark, name, grown(0))
+
+
+def test_band_groups_grow_with_the_rows():
+    """A million hashes were 700 probes each; now they are under 100, and under a hundredth of all pairs is compared."""
+    from itertools import combinations
+
+    from motifspark.operators.hashjoin import band_plan
+
+    n = 10**6
+    plan = band_plan(8, n, n)
+    chosen = list(combinations(plan, len(plan) - 8))
+    assert len(chosen) < 100
+    assert sum(n * n * 0.5 ** sum(w for _, w in c) for c in chosen) < 0.01 * n * n
+
+
+def test_counted_edges_multiply_copies(spark):
+    from motifspark.operators import cluster, hashjoin
+
+    rows = spark.createDataFrame([(i, 0) for i in range(400)] + [(i, 1) for i in range(350, 600)] + [(7, 7), (8, None)], "id long, h long")
+    local = [(r.id, r.h) for r in rows.collect() if r.h is not None]
+    want = sum(1 for a, x in local for b, y in local if a != b and (x ^ y).bit_count() <= 2)
+    said = spark.createDataFrame([("t1",)], "pred_template string")
+    near = hashjoin.near_hashes(rows, rows, 2)
+    assert near.count() == 7  # three hashes, not 650 rows
+    assert cluster.prediction_counters(said, hashjoin.edge_count(rows, 2)).first()["neighbour_edges"] == want
