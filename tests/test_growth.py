@@ -168,3 +168,9 @@ def test_counted_edges_multiply_copies(spark):
     near = hashjoin.near_hashes(rows, rows, 2)
     assert near.count() == 7  # three hashes, not 650 rows
     assert cluster.prediction_counters(said, hashjoin.edge_count(rows, 2)).first()["neighbour_edges"] == want
+
+
+@pytest.mark.parametrize("name", ["dbscan_clusters", "cluster_names", "cluster_counters"])
+def test_density_clusters_past_the_shift(spark, grown, name):
+    """Two rows of one id, a vector and another's copy, were two points of one name and came out four times."""
+    assert agrees(spark, name, grown(0))
