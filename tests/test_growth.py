@@ -174,3 +174,10 @@ def test_counted_edges_multiply_copies(spark):
 def test_density_clusters_past_the_shift(spark, grown, name):
     """Two rows of one id, a vector and another's copy, were two points of one name and came out four times."""
     assert agrees(spark, name, grown(0))
+
+
+def test_embedding_votes_are_those_of_the_sql(spark, grown, monkeypatch):
+    from motifspark.operators import densejoin
+
+    monkeypatch.setattr(densejoin, "LEAST_BLOCK", 64)
+    assert agrees(spark, "embedding_vote_run", grown(0))

@@ -57,3 +57,34 @@ def test_empty_sides(spark):
     for a, b in ((v, none), (none, v), (none, none)):
         assert densejoin.cosine_radius_join(a, b, 0.5).collect() == []
     assert densejoin.cosine_radius_join(v, frame(spark, -np.eye(3)), 0.5).collect() == []
+
+
+@pytest.mark.parametrize("labels, least", [(3, 1024), (3, 16), (90, 16)])
+def test_cells_are_summed_where_blocks_meet(spark, monkeypatch, labels, least):
+    """Edges left their tasks and met their labels by a join: as many rows as near pairs."""
+    from motifspark.operators import vote
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(densejoin, "LEAST_BLOCK", least)
+    monkeypatch.setattr(densejoin, "BLOCK_BYTES", 8 * 6 * 70)  # 70 rows, if not fewer
+    r, radii = np.random.default_rng(labels), [0.6, 0.01, 0.2]
+    b = np.round(unit(r.normal(size=(150, 6))), 3)
+    b[90:110], a = b[0], np.vstack([b[:30], unit(r.normal(size=(60, 6)))])
+    frames = [[(i, f"t{r.integers(labels)}", v) for i, v in enumerate([*x.tolist(), None, [float("nan")] * 6])] for x in (a, b)]
+    asked, known = (vote.pointed(spark.createDataFrame(f, "id long, template string, v array<double>"), "v") for f in frames)
+    edges = vote.distinct_edges(asked, known, densejoin.cosine_radius_join, 0.6, "v")
+    cells = vote.distinct_edges(asked, known, densejoin.cosine_radius_join, 0.6, "v", radii)
+    want = {(x.id, x.label, x.bin): x for x in vote.cells(edges, radii).collect()}
+    got = {(x.id, x.label, x.bin): x for x in cells.collect()}
+    assert set(got) == set(want) and cells.count() == len(got)
+    assert all((x.n, x.zero) == (want[k].n, want[k].zero) or want[k].bin == 0 and x.n == want[k].n for k, x in got.items())
+    truth = asked.select("id", F.col("template").alias("truth"), "point")
+    rows = lambda e: sorted(map(tuple, vote.sweep(truth, e, radii).collect()))
+    assert rows(cells) == rows(edges)
+
+
+def test_no_cells_of_empty_sides(spark):
+    v = frame(spark, np.eye(3))
+    held = v.selectExpr("id AS other", "v", "'t' AS label", "1L AS copies")
+    for a, b in ((v, held.limit(0)), (v.limit(0), held)):
+        assert densejoin.cosine_cells(a, b, [0.5]).collect() == []
