@@ -61,6 +61,26 @@ def test_keypoint_run_past_the_shift(spark, grown):
     assert agrees(spark, "keypoint_run", grown(1))  # ids 5 and 100005 are one image, as in the SQL
 
 
+def test_keypoint_run_with_ids_of_copies(spark, grown, tmp_path):
+    """Vector 100220 has the id of 220's near copy, so it holds that copy's descriptors, which vector 1 shares, and is in once."""
+    import duckdb
+
+    import __spark_entry__
+
+    h = sum(1 << i for i in range(1, 12))
+    g = h ^ 220 << 20 ^ 7 << 40  # three bits from the copy, eight from the vector: 12 and 32 bits of a descriptor
+    bits = lambda x: F.array(*[F.lit(float(x >> i & 1)).cast("float") for i in range(64)])
+    e = spark.read.parquet(f"{grown(0)}/embeddings.parquet")
+    e.withColumn("embedding", F.when(F.col("vec_id") == 220, bits(h)).when(F.col("vec_id") == 1, bits(g)).otherwise(F.col("embedding"))).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.id: (r.template, r.pred) for r in __spark_entry__.queries()["keypoint_run"](spark, str(tmp_path)).collect()}
+    labels = {r.vec_id: f"t{r.label}" for r in e.collect()}
+    assert got[100220] == (labels[100220], labels[1])
+    assert set(got) == {i for i in labels if i % 5 == 0}
+    c = duckdb.connect(config={"threads": 1})  # any_value takes the vector's own row where rows come in order
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == {i: (t, p) for i, t, p in c.execute(f"SELECT id, template, pred FROM ({__spark_entry__.oracle_sql()['keypoint_run']})").fetchall()}
+
+
 @pytest.mark.parametrize("name", ["streamed_assignment", "nearest_representative"])
 def test_part_files_and_ids_past_the_shift(spark, grown, name):
     assert agrees(spark, name, grown(0))  # copies of 0, 4, ... have the ids 100000, 100004, ... of other vectors
