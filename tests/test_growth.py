@@ -86,6 +86,20 @@ def test_part_files_and_ids_past_the_shift(spark, grown, name):
     assert agrees(spark, name, grown(0))  # copies of 0, 4, ... have the ids 100000, 100004, ... of other vectors
 
 
+def test_streamed_assignment_takes_every_row(spark, grown, tmp_path):
+    """Ids from 100,000 on were left out; so were ids before a day under zero, and null ones. Two rows of one id: the nearest counts."""
+    import __spark_entry__
+
+    e = spark.read.parquet(f"{grown(0)}/embeddings.parquet")
+    label = {r.vec_id: r.label for r in e.collect()}
+    twin = next(i for i in range(20, 250) if label[i] != label[15])
+    other = {1: "NULL", 2: "5000000000000000", 3: "-100001", twin: "15"}
+    e.withColumn("vec_id", F.expr("CASE vec_id " + " ".join(f"WHEN {i} THEN CAST({x} AS BIGINT)" for i, x in other.items()) + " ELSE vec_id END")).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r.id for r in __spark_entry__.queries()["streamed_assignment"](spark, str(tmp_path)).collect()]
+    assert len(got) == 499 and set(got) == (set(label) - set(other)) | {None, 5 * 10**15, -100001, 15}
+    assert agrees(spark, "streamed_assignment", str(tmp_path))
+
+
 def test_streamed_counts_of_part_files(spark, tmp_path):
     import __spark_entry__
 
